@@ -118,7 +118,7 @@ def local_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 7) -> tuple[Tree, np
 
 
 def search_cell(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, visits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the query, id, squared distance) of up to ``k`` vectors of the cell for each query; none has the query's name."""
+    """(number of the query, id, squared distance) of up to ``k`` vectors of the cell for each query; none has the query's name. ``ids`` rise."""
     tree, at = local_tree(x, seed=seed)
     by_leaf: dict[int, list[int]] = {}
     for i, seen in enumerate(tree.best_first(q, visits)):
@@ -134,6 +134,9 @@ def search_cell(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray
             d[names[part][:, None] == ids[rows][None]] = np.inf
             m = min(k, len(rows))
             near = np.argpartition(d, m - 1, axis=1)[:, :m]
+            last = np.take_along_axis(d, near, axis=1).max(axis=1)
+            for i in np.flatnonzero((d <= last[:, None]).sum(axis=1) > m):  # a tie at the end: the lesser ids win
+                near[i] = np.argsort(d[i], kind="stable")[:m]
             found.append((np.repeat(part, m), ids[rows[near]].ravel(), np.take_along_axis(d, near, axis=1).ravel()))
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)

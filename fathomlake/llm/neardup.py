@@ -101,6 +101,8 @@ def sketch(docs: DataFrame) -> DataFrame:
             texts = b["text"].tolist()
             for begin, end in chunks(texts):
                 whole, bands, sig, has = _sign(texts[begin:end])
+                if not has.any():
+                    continue
                 part = b.iloc[begin:end]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy()[has], "body": part["body"].to_numpy()[has], "node": whole[has],
