@@ -27,6 +27,8 @@ from .text import mix64
 
 #: Vectors in a cell and in a leaf, about; children of a node; Lloyd steps.
 CELL, LEAF, FAN, STEPS = 4096, 128, 8, 4
+#: Queries that a task holds candidates of at a time.
+ASKED = 2048
 #: Queries of the calibration, and the recall they must have.
 SAMPLE, TARGET = 256, 0.96
 
@@ -120,13 +122,22 @@ def local_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 7) -> tuple[Tree, np
 def search_cell(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, visits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the query, id, squared distance) of up to ``k`` vectors of the cell for each query; none has the query's name. ``ids`` rise."""
     tree, at = local_tree(x, seed=seed)
+    rows_of = {node: np.flatnonzero(at == node) for node in tree.leaves}
+    parts = [_search_part(tree, rows_of, x, ids, q[s : s + ASKED], names[s : s + ASKED], k, visits) for s in range(0, len(q), ASKED)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    who = np.concatenate([p[0] + i * ASKED for i, p in enumerate(parts)])
+    return who, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+
+def _search_part(tree: Tree, rows_of: dict[int, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by_leaf: dict[int, list[int]] = {}
     for i, seen in enumerate(tree.best_first(q, visits)):
         for node in seen:
             by_leaf.setdefault(node, []).append(i)
     found: list[tuple[np.ndarray, ...]] = []
     for node, queries in by_leaf.items():
-        rows = np.flatnonzero(at == node)
+        rows = rows_of[node]
         own = np.array(queries)
         for s in range(0, len(own), step := max(1, (1 << 21) // max(1, len(rows)))):
             part = own[s : s + step]
