@@ -1 +1 @@
-
+"""Formulas and their compilation to plans."""
