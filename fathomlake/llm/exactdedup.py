@@ -113,7 +113,7 @@ def write_index(docs: DataFrame, columns: list[str], key: Callable[[Column], Col
     directory = build_directory(sizes, bits, bucket_bytes, owner_bytes)
     n = directory.owner[-1] + 1
     # Spark broadcasts the directory if it is small enough, and joins by shuffle otherwise.
-    table = spark.createDataFrame(list(enumerate(directory.owner)), f"{p} long, {o} int")
+    table = spark.createDataFrame(pa.table({p: pa.array(range(len(directory.owner)), pa.int64()), o: pa.array(directory.owner, pa.int32())}))
     path = shared_table(spark, "index")
     (
         keyed.join(table, prefix(directory.depth) == F.col(p)).drop(p)
