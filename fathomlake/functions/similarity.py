@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 def jaro_winkler_of(a: str, b: str, scale: float = 0.1, prefix: int = 4) -> float:
     """The Jaro-Winkler similarity of two texts that are not empty.
 
-    Winkler's prefix term is added whatever the Jaro similarity.
+    Winkler's prefix term is added to Jaro similarities over 0.7.
     """
     if a == b:
         return 1.0
@@ -30,6 +30,8 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1, prefix: int = 4) -> floa
     right = [c for c, f in zip(b, free) if not f]
     moved = sum(x != y for x, y in zip(left, right)) // 2
     jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     same = 0
     for x, y in zip(a[:prefix], b[:prefix]):
         if x != y:
