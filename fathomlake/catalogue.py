@@ -103,9 +103,9 @@ def _vectorize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 for _op, _sql in {
     "Min": "min(l_extendedprice) OVER w", "Max": "max(l_extendedprice) OVER w", "Mean": "avg(l_extendedprice) OVER w", "Sum": "sum(l_extendedprice) OVER w", "Std": "stddev_samp(l_extendedprice) OVER w",
-    "Var": "var_samp(l_extendedprice) OVER w", "Count": "CAST(count(l_extendedprice) OVER w AS DOUBLE)", "Median": "median(l_extendedprice) OVER w",
+    "Var": "var_samp(l_quantity) OVER w", "Count": "CAST(count(l_extendedprice) OVER w AS DOUBLE)", "Median": "median(l_extendedprice) OVER w",
 }.items():
-    formula(f"gb_{_op.lower()}", "lineitem", _LINE, f"GroupByThen{_op}(l_extendedprice,l_suppkey)", f"SELECT l_orderkey, l_linenumber, round({_sql}, 6) AS value FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
+    formula(f"gb_{_op.lower()}", "lineitem", _LINE, f"GroupByThen{_op}({'l_quantity' if _op == 'Var' else 'l_extendedprice'},l_suppkey)", f"SELECT l_orderkey, l_linenumber, round({_sql}, 6) AS value FROM lineitem WINDOW w AS (PARTITION BY l_suppkey)")
 formula("gb_rank", "lineitem", _LINE, "GroupByThenRank(l_quantity,l_returnflag)", """
     SELECT l_orderkey, l_linenumber, round((rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0)
         / count(l_quantity) OVER (PARTITION BY l_returnflag), 6) AS value FROM lineitem""")

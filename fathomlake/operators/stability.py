@@ -77,8 +77,7 @@ def feature_psi(df: DataFrame, features: Sequence[str], date: str, categorical:
     cells = []
     for f in features:
         if f in edges:
-            bin_ = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges[f]]), lambda e, f=f: F.col(f) >= e)).cast("string")
-            value = F.when(F.col(f).isNotNull(), bin_)
+            value = F.when(F.col(f).isNotNull(), _reached(F.col(f), edges[f]).cast("string"))
         else:
             value = F.col(f).cast("string")
         cells.append(F.struct(F.lit(f).alias("feature"), value.alias("value")))
@@ -89,6 +88,11 @@ def feature_psi(df: DataFrame, features: Sequence[str], date: str, categorical:
     return {f: _aggregate(table[f], f in edges, params) for f in features}
 
 
+def _reached(c: Column, edges: Sequence[float]) -> Column:
+    """How many of the edges a value reaches."""
+    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: c >= e))
+
+
 def _aggregate(parts: dict[int, dict[str | None, int]], binned: bool, params: Stability) -> float | None:
     if len(parts) < 2 or 0 not in parts:
         return None
