@@ -17,7 +17,9 @@ from pyspark.sql.types import BinaryType, DateType, NumericType, StringType, Str
 
 from .countries import COUNTRIES, PHONES
 
-EMAIL = r"^[a-zA-Z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$"
+_LABEL = r"[^\W_](?:(?:[^\W_]|-){0,61}[^\W_])?"
+#: Of ASCII characters; in Python it needs re.ASCII.
+EMAIL = rf"^[\w.!#$%&'*+/=?^`{{|}}~-]+@{_LABEL}(?:\.{_LABEL})*$"
 
 
 def email_hash(c: Column) -> Column:
@@ -178,11 +180,11 @@ def _by_value(kind: str, values: pd.Series) -> bool:
     if kind == "date":
         return bool(pd.to_datetime(texts, errors="coerce", format="mixed").notna().mean() >= 0.5)
     if kind == "postal_code":
-        return bool(texts.map(lambda t: re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9 \-.]{2,9}", t.strip()) is not None).all())
+        return bool(texts.map(lambda t: re.fullmatch(r"[^\W_][\w .-]{2,9}", t.strip()) is not None).all())
     if kind == "country":
         return bool(texts.str.upper().isin({*COUNTRIES, *COUNTRIES.values()}).sum() > 0.1 * len(values))
     if kind == "email":
-        return bool(texts.str.contains("@").any() and texts.str.match(EMAIL).sum() > 0.1 * len(values))
+        return bool(texts.str.contains("@").any() and texts.str.match(EMAIL, flags=re.ASCII).sum() > 0.1 * len(values))
     return False
 
 

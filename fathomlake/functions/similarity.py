@@ -42,7 +42,8 @@ def jaro_winkler_of(a: str, b: str, scale: float = 0.1, prefix: int = 4) -> floa
 
 @pandas_udf(DoubleType())
 def _jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    found = [None if x is None or y is None else jaro_winkler_of(x, y) for x, y in zip(a, b)]
+    return pd.Series(found, dtype="float64")
 
 
 def jaro_winkler(a, b):

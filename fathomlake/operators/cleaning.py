@@ -15,6 +15,8 @@ from ..functions import keys as k
 
 #: Characters of a text that are kept.
 LONGEST = 24_573
+#: One-hot columns by their prefix.
+Groups = dict[str, list[str]]
 
 
 def _q(name: str) -> Column:
@@ -113,8 +115,8 @@ def high_cardinality_columns(df: DataFrame, share: float = 0.85, least_rows: int
 # One-hot groups
 
 
-def one_hot_groups(df: DataFrame, least_share: float = 0.6) -> dict[str, list[str]]:
-    """Prefixes to columns of consecutive numeric suffixes whose values are 0 and 1, mostly 0, with a 1 in most rows."""
+def one_hot_groups(df: DataFrame, least_share: float = 0.6) -> Groups:
+    """Columns of each prefix with consecutive numeric suffixes whose values are 0 and 1, mostly 0, with a 1 in most rows."""
     by_prefix: dict[str, list[tuple[int, str]]] = {}
     for f in df.schema.fields:
         m = re.fullmatch(r"(.*?\D)(\d+)", f.name)

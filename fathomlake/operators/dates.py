@@ -111,13 +111,10 @@ class DateListDiff(DateOperator):
     """
 
     pattern = r"date_diff_(?!type)(?P<aggregation>[^_]+)"
-    name, unnamed = "date_diff_list", True
+    name, unnamed, shape = "date_diff_list", True, "date_diff_{aggregation}"
     defaults = {**DateOperator.defaults, "aggregation": None, "replace_negative": False}
     types = {"aggregation": str}
 
-    def formula(self) -> str:
-        return f"date_diff_{self.aggregation}"
-
     def kept(self, days: Column) -> Column:
         return F.filter(days, lambda d: d > 0) if self.replace_negative else days
 
@@ -125,7 +122,7 @@ class DateListDiff(DateOperator):
         if self.aggregation in _COUNTS:
             return double(_COUNTS[self.aggregation](days))
         if self.aggregation not in _LIST_STATISTICS:
-            raise ValueError(f"Unsupported aggregation: {self.aggregation}")
+            raise ValueError(f"{self.aggregation} of a list is not known; {sorted([*_COUNTS, *_LIST_STATISTICS])} are")
         return F.when((F.size(days) > 0) & ~F.exists(days, lambda d: d.isNull()), _LIST_STATISTICS[self.aggregation](days))
 
     def difference(self, left: Column, right: Column, kind: DataType) -> Column:

@@ -43,15 +43,12 @@ def _skew(c: Column) -> Column:
 class GroupByThenAgg(Grouping):
     pattern = r"GroupByThen(?P<agg>(?!(?:[Rr]ank|[Nn]unique|NUnique|[Ff]req)$)[A-Za-z]+)"
     name, unnamed, vectorizable = "GroupByThenAgg", True, True
-    defaults, types = {"agg": None}, {"agg": str}
+    shape, defaults, types = "GroupByThen{agg}", {"agg": None}, {"agg": str}
 
     def check(self) -> None:
         if self.agg:
             self.agg = self.agg[0].upper() + self.agg[1:]
 
-    def formula(self) -> str:
-        return f"GroupByThen{self.agg}"
-
     def build(self, frame: Frame, operands: list[str]) -> Built:
         value, key = operands
         return frame.lookup((key,), _statistic(self.agg.lower(), value, frame))

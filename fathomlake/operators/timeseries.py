@@ -90,11 +90,8 @@ class TimeSeries(Operator):
     def check(self) -> None:
         micros(1, self.offset_unit)
 
-    def base_formula(self) -> str:
-        raise NotImplementedError
-
     def formula(self) -> str:
-        return self.base_formula() + (f"_offset_{self.offset_size}{self.offset_unit}" if self.offset_size > 0 else "")
+        return super().formula() + (f"_offset_{self.offset_size}{self.offset_unit}" if self.offset_size > 0 else "")
 
     def series(self, frame: Frame, date: str, groups: list[str], value: str, among: Column | None = None) -> Series:
         """The series of the rows ``among``, shifted by the offset: a row has the value of the date
@@ -153,7 +150,7 @@ class Roll(TimeSeries):
     """A statistic of the values of a trailing time window, open at its old end."""
 
     pattern = r"roll_(?P<window_size>\d+)(?P<window_unit>[a-zA-Z])_(?P<aggregation>\w+?)" + _OFFSET
-    name, unnamed = "roll", True
+    name, unnamed, shape = "roll", True, "roll_{window_size}{window_unit}_{aggregation}"
     defaults = {**TimeSeries.defaults, "aggregation": None, "window_size": 1, "window_unit": "D"}
     types = {"aggregation": str}
 
@@ -161,9 +158,6 @@ class Roll(TimeSeries):
         super().check()
         micros(1, self.window_unit)
 
-    def base_formula(self) -> str:
-        return f"roll_{self.window_size}{self.window_unit}_{self.aggregation}"
-
     def result(self, s: Series) -> Column:
         w, v = s.trailing(micros(self.window_size, self.window_unit)), s.v
         over = lambda c: c.over(w)
@@ -177,22 +171,19 @@ class Roll(TimeSeries):
             "skew": lambda: _sample_skew(*powers(3)), "kurt": lambda: _sample_kurt(*powers(4)),
         }
         if self.aggregation not in kinds:
-            raise ValueError(f"Unsupported aggregation: {self.aggregation}")
+            raise ValueError(f"{self.aggregation} of a window is not known; {sorted(kinds)} are")
         return kinds[self.aggregation]()
 
 
 class Lag(TimeSeries):
     pattern = r"lag_(?P<lag_size>\d+)(?P<lag_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "lag", True
+    name, unnamed, shape = "lag", True, "lag_{lag_size}{lag_unit}"
     defaults, types = {**TimeSeries.defaults, "lag_size": 1, "lag_unit": "D"}, {}
 
     def check(self) -> None:
         super().check()
         micros(1, self.lag_unit)
 
-    def base_formula(self) -> str:
-        return f"lag_{self.lag_size}{self.lag_unit}"
-
     def result(self, s: Series) -> Column:
         return s.lagged(self.lag_size, self.lag_unit)
 
@@ -201,16 +192,13 @@ class Delta(TimeSeries):
     """The value less its lag."""
 
     pattern = r"delta_(?P<delta_size>\d+)(?P<delta_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "delta", True
+    name, unnamed, shape = "delta", True, "delta_{delta_size}{delta_unit}"
     defaults = {**TimeSeries.defaults, "delta_size": 1, "delta_unit": "D"}
 
     def check(self) -> None:
         super().check()
         micros(1, self.delta_unit)
 
-    def base_formula(self) -> str:
-        return f"delta_{self.delta_size}{self.delta_unit}"
-
     def result(self, s: Series) -> Column:
         return s.own() - s.lagged(self.delta_size, self.delta_unit)
 
@@ -219,10 +207,7 @@ class Delta2(Delta):
     """The delta of the delta."""
 
     pattern = r"delta2_(?P<delta_size>\d+)(?P<delta_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "delta2", True
-
-    def base_formula(self) -> str:
-        return f"delta2_{self.delta_size}{self.delta_unit}"
+    name, unnamed, shape = "delta2", True, "delta2_{delta_size}{delta_unit}"
 
     def result(self, s: Series) -> Column:
         return super().result(s.with_value(super().result(s)))
@@ -237,12 +222,9 @@ class TrendCoefficient(TimeSeries):
     """
 
     pattern = r"trend_coef" + _OFFSET
-    name, unnamed = "trend_coef", True
+    name, unnamed, shape = "trend_coef", True, "trend_coef"
     defaults = {**TimeSeries.defaults, "step_size": 1, "step_unit": "D"}
 
-    def base_formula(self) -> str:
-        return "trend_coef"
-
     def result(self, s: Series) -> Column:
         frame, step = s.frame, micros(self.step_size, self.step_unit)
         at = F.when(F.col(s.live), F.col(s.at))
@@ -296,12 +278,9 @@ class RollingVolatility(Volatility):
     """The standard deviation of returns in a trailing window."""
 
     pattern = r"roll_vol_(?P<window_size>\d+)(?P<window_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "roll_vol", True
+    name, unnamed, shape = "roll_vol", True, "roll_vol_{window_size}{window_unit}"
     defaults = {**Volatility.defaults, "window_size": 1, "window_unit": "D", "abs_returns": False}
 
-    def base_formula(self) -> str:
-        return f"roll_vol_{self.window_size}{self.window_unit}"
-
     def result(self, s: Series) -> Column:
         return self.volatility(s, self.window_size, self.window_unit, self.abs_returns)
 
@@ -310,12 +289,9 @@ class RollingVolatility2(Volatility):
     """The volatility of the volatility (of absolute returns)."""
 
     pattern = r"roll_vol2_(?P<window_size>\d+)(?P<window_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "roll_vol2", True
+    name, unnamed, shape = "roll_vol2", True, "roll_vol2_{window_size}{window_unit}"
     defaults = {**Volatility.defaults, "window_size": 1, "window_unit": "D"}
 
-    def base_formula(self) -> str:
-        return f"roll_vol2_{self.window_size}{self.window_unit}"
-
     def result(self, s: Series) -> Column:
         once = s.with_value(self.volatility(s, self.window_size, self.window_unit, True))
         return self.volatility(once, self.window_size, self.window_unit)
@@ -325,12 +301,9 @@ class VolatilityRatio(Volatility):
     """Short-term by long-term volatility; 1 where that is undefined."""
 
     pattern = r"vol_ratio_(?P<short_window_size>\d+)(?P<short_window_unit>[a-zA-Z])_to_(?P<window_size>\d+)(?P<window_unit>[a-zA-Z])" + _OFFSET
-    name, unnamed = "vol_ratio", True
+    name, unnamed, shape = "vol_ratio", True, "vol_ratio_{short_window_size}{short_window_unit}_to_{window_size}{window_unit}"
     defaults = {**Volatility.defaults, "window_size": 1, "window_unit": "D", "short_window_size": 1, "short_window_unit": "D"}
 
-    def base_formula(self) -> str:
-        return f"vol_ratio_{self.short_window_size}{self.short_window_unit}_to_{self.window_size}{self.window_unit}"
-
     def result(self, s: Series) -> Column:
         r = self.returns(s)
         short, long = (F.stddev_samp(r.v).over(r.trailing(micros(n, u))) for n, u in ((self.short_window_size, self.short_window_unit), (self.window_size, self.window_unit)))
@@ -361,12 +334,9 @@ class EWMAVolatility(Volatility):
     """
 
     pattern = r"ewma_vol_(?P<window_size>\d+)" + _OFFSET
-    name, unnamed = "ewma_vol", True
+    name, unnamed, shape = "ewma_vol", True, "ewma_vol_{window_size}"
     defaults = {**Volatility.defaults, "window_size": 1}
 
-    def base_formula(self) -> str:
-        return f"ewma_vol_{self.window_size}"
-
     def result(self, s: Series) -> Column:
         r = self.returns(s)
         frame, name, span = s.frame, s.frame.name(), self.window_size
@@ -392,7 +362,7 @@ class CrossSeriesInteraction(TimeSeries):
     """
 
     pattern = r"cross_(?P<interaction_op>.+?)" + _OFFSET
-    name, unnamed = "cross", True
+    name, unnamed, shape = "cross", True, "cross_{{}}"
     defaults = {**TimeSeries.defaults, "interaction_op": None, "descriptor_indices": [], "left_descriptor": [], "right_descriptor": []}
 
     def check(self) -> None:
@@ -415,10 +385,11 @@ class CrossSeriesInteraction(TimeSeries):
         return cls(interaction_op=op, descriptor_indices=[0], left_descriptor=["default"], right_descriptor=["default"], **given)
 
     def _inner(self) -> str:
-        return self.interaction_op.alias or self.interaction_op.formula()
+        inner = self.interaction_op
+        return inner.alias or inner.formula()
 
-    def base_formula(self) -> str:
-        return f"cross_{self._inner()}"
+    def formula(self) -> str:
+        return super().formula().replace("{}", self._inner())
 
     def get_params(self) -> dict[str, Any]:
         return {**super().get_params(), "interaction_op": self._inner()}

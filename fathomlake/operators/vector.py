@@ -45,16 +45,10 @@ class Vectorize(Vector):
 class OnnxModel(Vector):
     pattern = r"onnx_(?P<score_name>.+)"
     name, unnamed, output_type = "onnx", True, "float"
-    defaults = {"score_name": "score"}
-
-    def formula(self) -> str:
-        return f"onnx_{self.score_name}"
+    shape, defaults = "onnx_{score_name}", {"score_name": "score"}
 
 
 class CatboostModel(Vector):
     pattern = r"catboost_(?P<score_name>.+)"
     name, unnamed, output_type = "catboost", True, "float"
-    defaults = {"score_name": "score"}
-
-    def formula(self) -> str:
-        return f"catboost_{self.score_name}"
+    shape, defaults = "catboost_{score_name}", {"score_name": "score"}

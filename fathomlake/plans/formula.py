@@ -125,8 +125,8 @@ class Call:
         """Set parameters of this operator, and of operands by the prefix of their names (all of them if none has it)."""
         self.op.set_params(params)
         for o in self.operands:
-            name = o.display_name()
-            own = {k[len(name) + 1 :]: v for k, v in params.items() if k.startswith(name)}
+            head = o.display_name()
+            own = {key.removeprefix(head)[1:]: value for key, value in params.items() if key.startswith(head)}
             o.set_params(own or params)
         return self
 

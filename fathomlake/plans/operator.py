@@ -29,6 +29,8 @@ class Operator:
     name: ClassVar[str | None] = None
     alias: str | None = None
     pattern: ClassVar[str | None] = None
+    #: How the operator stands in a formula, with its parameters in braces; else it is the name.
+    shape: ClassVar[str | None] = None
     #: unary, binary, grouping or vector.
     kind: ClassVar[str] = "unary"
     symmetrical: ClassVar[bool] = False
@@ -105,7 +107,7 @@ class Operator:
 
     def formula(self) -> str:
         """The operator as it stands in a formula."""
-        return self.name or ""
+        return self.shape.format_map(vars(self)) if self.shape else self.name or ""
 
     def hash_part(self) -> str:
         return self.formula()
