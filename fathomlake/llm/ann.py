@@ -227,8 +227,8 @@ def build_top(rows: DataFrame, n: int, dim: int, cell: int = CELL, seed: int = 7
     return tree
 
 
-def exact(rows: DataFrame, queries: pd.DataFrame, k: int) -> dict[int, float]:
-    """The distance of the k-th neighbour of each query, by comparing it to every vector."""
+def exact(cells: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each query, by comparing it to every vector: ``(q, id, cell, d)``."""
     q, names = np.stack(queries["v"].to_numpy()).astype(np.float32), queries["id"].to_numpy()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -237,12 +237,44 @@ def exact(rows: DataFrame, queries: pd.DataFrame, k: int) -> dict[int, float]:
                 d = _squared(q, np.stack(b["v"].to_numpy()))
                 d[names[:, None] == b["id"].to_numpy()[None]] = np.inf
                 m = min(k, d.shape[1])
-                near = np.partition(d, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({"q": np.repeat(names, m), "d": near.ravel().astype(float)})
+                near = np.argpartition(d, m - 1, axis=1)[:, :m]
+                at = near.ravel()
+                yield pd.DataFrame({"q": np.repeat(names, m), "id": b["id"].to_numpy()[at], "cell": b["cell"].to_numpy()[at], "d": np.take_along_axis(d, near, axis=1).ravel().astype(float)})
 
-    near = rows.mapInPandas(run, "q long, d double").filter("d < double('Infinity')")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d"))).filter(F.col("r") <= k)
-    return dict(near.groupBy("q").agg(F.max("d")).toPandas().itertuples(index=False))
+    near = cells.mapInPandas(run, "q long, id long, cell long, d double").filter("d < double('Infinity')")
+    return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).filter(F.col("r") <= k).drop("r").toPandas()
+
+
+def calibrate(cells: DataFrame, queries: pd.DataFrame, tree: Tree, k: int, target: float, seed: int) -> tuple[int, int]:
+    """How many cells, and leaves of each, a search must visit to find ``target`` of the sample's neighbours, at least cost.
+
+    Best-bin-first order is the same in every search, so it is enough to know at
+    which visit each true neighbour is met: one pass finds the neighbours,
+    another the place of their leaves. Visits are then widened until enough are met.
+    """
+    true = exact(cells, queries, k).merge(queries.rename(columns={"id": "q"}), on="q")
+    order = tree.best_first(np.stack(queries["v"].to_numpy()), len(tree.leaves))
+    place = {(q, cell): i + 1 for q, seen in zip(queries["id"], order) for i, cell in enumerate(seen)}
+    true["m"] = [place[q, c] for q, c in zip(true["q"], true["cell"])]
+
+    def meet(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if not len(data) or not len(asked):
+            return pd.DataFrame({"q": [], "id": [], "w": []})
+        data = data.sort_values("id")
+        local, at = local_tree(np.stack(data["v"].to_numpy()), seed=seed)
+        own = dict(zip(data["id"], at.tolist()))
+        seen = local.best_first(np.stack(asked["v"].to_numpy()), len(local.leaves))
+        return pd.DataFrame({"q": asked["q"], "id": asked["id"], "w": [s.index(own[i]) + 1 for s, i in zip(seen, asked["id"])]})
+
+    wanted = cells.sparkSession.createDataFrame(true[["q", "id", "cell", "v"]], "q long, id long, cell long, v array<float>")
+    met = cells.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInPandas(meet, "q long, id long, w long").toPandas()
+    true = true.merge(met, on=["q", "id"])
+    need, best = int(np.ceil(target * len(true))), None
+    for m in sorted(set(true["m"])):
+        leaves = np.sort(true["w"][true["m"] <= m])
+        if len(leaves) >= need and (best is None or m * leaves[need - 1] < best[0] * best[1]):
+            best = int(m), int(leaves[need - 1])
+    return best or (1, 1)
 
 
 def _search(cells: DataFrame, queries: DataFrame, tree: Tree, k: int, cells_visited: int, leaves_visited: int, seed: int) -> DataFrame:
@@ -291,14 +323,5 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = TARGET, cell: in
 
     cells = cut(rows.mapInPandas(place, "cell long, id long, v array<float>"))
     asked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    queries = asked.toPandas()
-    bound = exact(rows, queries, k)
-    asked = vectors.sparkSession.createDataFrame(queries, "id long, v array<float>")
-    n_cells, visits, leaves_visited = len(tree.leaves), 2, 4
-    while True:
-        got = _search(cells, asked, tree, k, visits, leaves_visited, seed).toPandas()
-        hits = (got["distance"] ** 2 <= got["vec_id"].map(bound) * (1 + 1e-5) + 1e-6).sum()
-        if hits >= target * min(k, n - 1) * len(bound) or (visits >= n_cells and leaves_visited >= 2 * cell):
-            break
-        visits, leaves_visited = visits * 2, leaves_visited * 2 if visits < n_cells else leaves_visited * 8
+    visits, leaves_visited = calibrate(cells, asked.toPandas(), tree, k, target, seed)
     return _search(cells, rows, tree, k, visits, leaves_visited, seed)

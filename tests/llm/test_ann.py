@@ -43,7 +43,7 @@ def test_visiting_all_leaves_is_exact():
 
 
 def test_best_first_opens_the_nearest_first():
-    tree = ann.Tree(np.array([[0.0], [-5], [5], [-6], [-4], [4], [9]]), [[1, 2], [3, 4], [5, 6], [], [], [], []])
+    tree = ann.Tree(np.array([[0.0], [-5], [5], [-6], [-4], [4], [9]]), [list(k) for k in ((1, 2), (3, 4), (5, 6), (), (), (), ())])
     assert tree.best_first(np.array([[-5.9], [4.4], [0.4]]), 3) == [[3, 4, 5], [5, 6, 4], [5, 4, 3]]
 
 
