@@ -282,11 +282,11 @@ def _key_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", keyfn.date_key(keyfn.parse_dates(o, "d")).alias("value"))
 
 
-_COPIES = "SELECT o_orderkey, o_custkey % 50 AS customer, o_orderpriority AS priority, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS target FROM orders"
+_COPIES = "SELECT o_orderkey, o_custkey AS customer, o_orderpriority AS priority, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS target FROM orders"
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("customer"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") > 200000).cast("int").alias("target"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("customer"), F.col("o_orderpriority").alias("priority"), (F.col("o_totalprice") > 200000).cast("int").alias("target"))
 
 
 @query("dedup_full", f"""
