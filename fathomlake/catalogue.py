@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from .functions import keys as keyfn
-from .operators import cleaning, enrichment, sampling, stability, targets
+from .operators import cleaning, enrichment, ordering, sampling, stability, targets
 from .plans.compiler import features
 from .plans.formula import parse
 from .sources.files import read_parquet
@@ -310,7 +310,7 @@ def _contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("record_ids", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS system_record_id FROM events")
 def _record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "ts")
-    return cleaning.numbered(e, [F.col("ts"), F.col("event_id")], "system_record_id", rows_a_bucket=2000).select("event_id", "system_record_id")
+    return ordering.numbered(e, [F.col("ts"), F.col("event_id")], "system_record_id").select("event_id", "system_record_id")
 
 
 @query("melt_keys", "SELECT c_custkey, 'n' || c_nationkey AS place FROM customer UNION ALL SELECT c_custkey, c_mktsegment FROM customer")

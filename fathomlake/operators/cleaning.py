@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, FloatType, IntegralType, NumericType, StringType
 
 from ..functions import keys as k
+from .ordering import numbered
 
 #: Characters of a text that are kept.
 LONGEST = 24_573
@@ -230,28 +231,6 @@ def drop_contradictions(df: DataFrame, persons: Sequence[str], date: str, target
     return df.join(bad, [*([segment] if segment else []), *persons], "left_anti")
 
 
-def numbered(df: DataFrame, order: Sequence[Column], name: str, rows_a_bucket: int = 1_000_000) -> DataFrame:
-    """Consecutive numbers from 0 in ``order``, without putting all rows into one task.
-
-    Rows are ranged by the first ordering column into buckets of about
-    ``rows_a_bucket``; a row's number is its place in the bucket after all
-    earlier buckets.
-    """
-    head = order[0]
-    n = df.count()
-    buckets = max(1, -(-n // rows_a_bucket))
-    if buckets == 1:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    ranked = df.withColumn("_head", head)
-    cuts = ranked.agg(F.percentile_approx("_head", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]
-    where = reduce(lambda acc, c: acc + F.when(F.col("_head") > F.lit(c), 1).otherwise(0), cuts, F.lit(0))
-    ranked = ranked.withColumn("_bucket", where)
-    sizes = ranked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return ranked.withColumn("_r", place).join(F.broadcast(starts), "_bucket").withColumn(name, (F.col("_start") + F.col("_r") - 1).cast("long")).drop("_head", "_bucket", "_r", "_start")
-
-
 def record_ids(df: DataFrame, keys: Sequence[str], date: str | None = None, segment: str | None = None, row_id: str = "row_id", name: str = "system_record_id") -> DataFrame:
     """Numbers by (segment, date, hash of the keys): the training segment first. The rows' order does not matter."""
     columns = [_q(c) for c in keys if c != date]

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import average_ranks, sums_before
+
 
 def _expected(t: Column, p: Column) -> dict[str, Column]:
     err = p - t
@@ -40,8 +42,7 @@ def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str
 def roc_auc(df: DataFrame, target: str, prediction: str) -> float:
     """The area under the curve, exact with ties, from counts by distinct prediction."""
     by = df.groupBy(F.col(prediction).alias("p")).agg(F.sum(F.col(target).cast("double")).alias("pos"), F.sum(1.0 - F.col(target).cast("double")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = by.withColumn("b", below).agg(F.sum(F.col("pos") * (F.col("b") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    s = sums_before(by, "p", ["neg"]).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     if not s.p or not s.n:
         raise ValueError("roc_auc needs both classes")
     return s.u / (s.p * s.n)
@@ -115,15 +116,10 @@ def uplift_table(rows: Mapping[str, tuple[DataFrame, float, float]], target: str
 
 def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """``(column, pearson, spearman)`` with the target. Ranks are averages over ties, from counts by value."""
-    def rank(c: str) -> DataFrame:
-        v = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias(c)).agg(F.count("*").alias("_n"))
-        w = Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        return v.select(F.col(c).alias(f"_v_{c}"), (F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
-
     out = None
     for c in columns:
         rows = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target)).dropna()
-        ranked = rows.join(rank(c), F.col(c) == F.col(f"_v_{c}")).join(rank(target), F.col(target) == F.col(f"_v_{target}"))
-        one = ranked.agg(F.corr(c, target).alias("pearson"), F.corr(f"_r_{c}", f"_r_{target}").alias("spearman")).select(F.lit(c).alias("column"), "pearson", "spearman")
+        ranked = rows.join(average_ranks(rows, c, "_rank"), c).join(average_ranks(rows, target, "_target_rank"), target)
+        one = ranked.agg(F.corr(c, target).alias("pearson"), F.corr("_rank", "_target_rank").alias("spearman")).select(F.lit(c).alias("column"), "pearson", "spearman")
         out = one if out is None else out.unionByName(one)
     return out

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from .ordering import sums_before
+
 #: Shares of 0 count as this, or as a millionth of the least other share if that is greater.
 EPSILON = 1e-4
 
@@ -149,13 +151,11 @@ def target_psi(expected: DataFrame, actual: DataFrame, target: str) -> DataFrame
 
 def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> float:
     """The greatest gap between the distribution functions of a column in two tables."""
-    from pyspark.sql import Window
-
     x = F.col(column).cast("double")
     both = a.select(x.alias("x"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")).unionByName(b.select(x.alias("x"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b")))
     values = both.filter("x is not null").groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w, all_ = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0), values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = values.select((F.sum("a").over(w)).alias("ca"), (F.sum("b").over(w)).alias("cb")).crossJoin(F.broadcast(all_))
+    all_ = values.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = sums_before(values, "x", ["a", "b"]).select((F.col("a_before") + F.col("a")).alias("ca"), (F.col("b_before") + F.col("b")).alias("cb")).crossJoin(F.broadcast(all_))
     return gap.agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb")))).first()[0] or 0.0
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.functions import keys
-from fathomlake.operators import cleaning, enrichment, evaluation, sampling, stability, targets
+from fathomlake.operators import cleaning, enrichment, evaluation, ordering, sampling, stability, targets
 from fathomlake.sources.files import read_csv, read_parquet, write_parquet
 from fathomlake.sources.registry import Enricher, Registry, Source, select_features
 from fathomlake.streaming import stream_features, windowed
@@ -129,8 +129,13 @@ def test_record_ids_do_not_depend_on_order_or_partitions(spark):
 
 def test_numbering_by_buckets(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"))
-    got = cleaning.numbered(df, [F.col("v")], "n", rows_a_bucket=90).orderBy("v").collect()
-    assert [r.n for r in got] == list(range(1000))
+    for rows in (90, 10_000):
+        got = ordering.numbered(df, [F.col("v")], "n", rows).orderBy("v").collect()
+        assert [r.n for r in got] == list(range(1000))
+        sums = ordering.sums_before(df.withColumn("w", F.col("v") * 2), "v", ["w"], rows).orderBy("v").collect()
+        assert [r.w_before for r in sums] == [sum(2 * x.v for x in got[:i]) for i in range(1000)]
+    ties = table(spark, "x double", [(x,) for x in (5.0, 1.0, 5.0, None, 2.0)])
+    assert dict(map(tuple, ordering.average_ranks(ties, "x", "r").collect())) == {1.0: 1.0, 2.0: 2.0, 5.0: 3.5}
 
 
 # Joins
