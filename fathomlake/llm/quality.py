@@ -2,8 +2,8 @@
 
 Random indexing gives each word a vector: every word has a fixed sparse random
 index vector, and a word's vector is the sum of the index vectors of the words
-around it, over all documents. A document pools the vectors of its words (mean
-and spread); a two-layer network in numpy, trained on a bounded sample of
+around it, over all documents. A document pools the vectors of its words (mean,
+spread, likeness of neighbours, number); a two-layer network in numpy, trained on a bounded sample of
 labelled rows, scores them, and a temperature calibrates its probabilities.
 """
 
@@ -22,6 +22,8 @@ from .text import chunks, mix64, tokens
 
 #: Words are hashed into so many slots; so many dimensions; entries of an index vector; reach of the context.
 SLOTS, DIM, ENTRIES, REACH = 1 << 14, 32, 2, 2
+#: Numbers that stand for a document.
+POOLED = 3 * DIM + 1
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +72,11 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """Mean and standard deviation of the word vectors of each text; zeros without words."""
-    out = np.zeros((len(texts), 2 * DIM), np.float32)
+    """Of each text: mean and standard deviation of its word vectors, mean product of each with the next one's, logarithm of their number.
+
+    The products show repetition, which leaves the mean as it is. Zeros without words.
+    """
+    out = np.zeros((len(texts), POOLED), np.float32)
     for begin, end in chunks(texts):
         w, bounds = _slots(texts[begin:end])
         n = np.diff(bounds)
@@ -81,7 +86,11 @@ def pool(texts: list[str], vectors: np.ndarray) -> np.ndarray:
         v = vectors[w]
         mean = np.add.reduceat(v, bounds[:-1][full], axis=0) / n[full, None]
         square = np.add.reduceat(v * v, bounds[:-1][full], axis=0) / n[full, None]
-        out[begin:end][full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0))])
+        after = np.zeros_like(v)
+        after[:-1] = v[:-1] * v[1:]
+        after[bounds[1:][full] - 1] = 0  # the next word is another text's
+        near = np.add.reduceat(after, bounds[:-1][full], axis=0) / np.maximum(n[full, None] - 1, 1)
+        out[begin:end][full] = np.hstack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), near, np.log1p(n[full, None])])
     return out
 
 
@@ -186,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, seed: int
 
     got = texts.select("id", "y", "text").mapInPandas(featurise, "id long, y double, x binary").toPandas()
     got = got.sort_values(["id", "x"], ignore_index=True)
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), 2 * DIM).astype(float)
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(len(got), POOLED).astype(float)
     return Model(vectors, fit_network(x, got["y"].to_numpy(dtype=float), seed=seed))
 
 

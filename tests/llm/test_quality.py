@@ -52,7 +52,8 @@ def test_pooling_equals_brute_force():
     got = quality.pool(texts, v)
     for t, x in zip(texts, got):
         w = quality._slots([t])[0]
-        want = np.concatenate([v[w].mean(0), v[w].std(0)]) if len(w) else np.zeros(2 * quality.DIM)
+        near = (v[w[:-1]] * v[w[1:]]).mean(0) if len(w) > 1 else np.zeros(quality.DIM)
+        want = np.concatenate([v[w].mean(0), v[w].std(0), near, [np.log1p(len(w))]]) if len(w) else np.zeros(quality.POOLED)
         assert np.allclose(x, want, atol=2e-3)
 
 
