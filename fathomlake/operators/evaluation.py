@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 
@@ -123,3 +124,30 @@ def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFram
         one = ranked.agg(F.corr(c, target).alias("pearson"), F.corr("_rank", "_target_rank").alias("spearman")).select(F.lit(c).alias("column"), "pearson", "spearman")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def column_order(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str) -> list[str]:
+    """Keys, then columns by the greater of their correlations with the target, cut to seven decimals, then by a hash of the name."""
+    got = {r["column"]: max(abs(r.pearson or 0), abs(r.spearman or 0)) for r in correlations(df, columns, target).collect()}
+    tie = {c: hashlib.sha256(c.encode()).hexdigest() for c in columns}
+    return [*keys, *sorted(columns, key=lambda c: (-math.trunc((0 if math.isnan(got[c]) else got[c]) * 1e7), tie[c]))]
+
+
+def drift(train: DataFrame, evaluations: Mapping[str, DataFrame], columns: Sequence[str], most: int = 5) -> list[dict[str, object]]:
+    """Of each evaluation table: how well its rows are told from the training rows by the best single column, and the ``most`` such columns.
+
+    0.5 is not at all, 1 is wholly. Null values take no part.
+    """
+    out = []
+    for name, table in evaluations.items():
+        side = lambda d, v: d.select(*[F.col(c).cast("double").alias(c) for c in columns], F.lit(v).alias("_side"))
+        both = side(train, 0.0).unionByName(side(table, 1.0))
+        auc = {}
+        for c in columns:
+            known = both.filter(F.col(c).isNotNull())
+            if known.select("_side").distinct().count() == 2:
+                a = roc_auc(known, "_side", c)
+                auc[c] = max(a, 1 - a)
+        order = sorted(auc, key=lambda c: (-auc[c], c))
+        out.append({"segment": name, "drift_auc": auc[order[0]] if order else None, "features": order[:most]})
+    return out

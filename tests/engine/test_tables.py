@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.functions import keys
-from fathomlake.operators import cleaning, enrichment, evaluation, ordering, sampling, stability, targets
+from fathomlake.operators import cleaning, enrichment, evaluation, ordering, sampling, stability, targets, timelines
 from fathomlake.sources.files import read_csv, read_parquet, write_parquet
 from fathomlake.sources.registry import Enricher, Registry, Source, select_features
 from fathomlake.streaming import stream_features, windowed
@@ -317,3 +317,32 @@ def test_streams(spark, tmp_path):
     assert sorted(r.v_mean for r in got) == [2.0, 7.0, 12.0, 17.0]
     with pytest.raises(ValueError):
         stream_features(stream, {"f": "freq(k)"})
+
+
+# Timelines
+
+
+def test_time_structure(spark):
+    days = lambda n, step, per=1: table(spark, "d timestamp, k int, v double", [(datetime.datetime(2020, 1, 1) + datetime.timedelta(days=i * step), j, float(i + j)) for i in range(n) for j in range(per)])
+    assert timelines.is_time_series(days(20, 1), "d") and timelines.is_time_series(days(20, 2, 3), "d")
+    assert not timelines.is_time_series(days(20, 1).filter("day(d) <> 7"), "d") and not timelines.is_time_series(days(9, 1).union(days(1, 1)), "d")
+    months = table(spark, "d timestamp", [(datetime.datetime(2020, m, 1),) for m in range(1, 10)])
+    assert timelines.is_time_series(months, "d")
+    dense = days(280, 1, 2)
+    assert timelines.is_blocked_time_series(dense, "d") and not timelines.is_blocked_time_series(days(100, 1, 2), "d") and not timelines.is_blocked_time_series(days(280, 1), "d")
+    assert timelines.cross_validation(dense, {"d": "date"}, "REGRESSION", "v") == "blocked_time_series"
+    assert timelines.cross_validation(dense, {"d": "date"}, "BINARY", "v") == "group_k_fold" and timelines.cross_validation(dense, {"k": "custom_key"}, "REGRESSION", "v") == "k_fold"
+    assert timelines.dates_are_even(dense, "d") and not timelines.dates_are_even(days(10, 1).union(days(4, 1, 3)), "d")
+    assert timelines.group_columns(dense, {"d": "date", "k": "custom_key"}) == ["k"] and timelines.group_columns(dense, {"k": "phone", "v": "ip"}) == ["k"]
+    assert timelines.tree_loss("regression_l1", "REGRESSION") == "absolute"
+    with pytest.raises(ValueError):
+        timelines.tree_loss("binary", "REGRESSION")
+
+
+def test_drift_and_column_order(spark):
+    rng = np.random.default_rng(2)
+    make = lambda shift: spark.createDataFrame([(float(a), float(b + shift), float(a + 0.1 * b)) for a, b in rng.normal(size=(200, 2))], "a double, b double, y double")
+    train = make(0.0)
+    got = evaluation.drift(train, {"same": make(0.0), "moved": make(3.0)}, ["a", "b"])
+    assert got[0]["drift_auc"] < 0.6 and got[1]["drift_auc"] > 0.95 and got[1]["features"][0] == "b"
+    assert evaluation.column_order(train, ["k"], ["b", "a"], "y") == ["k", "a", "b"]
