@@ -1,28 +1,77 @@
+import os
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from fathomlake.llm import queries
+from fathomlake.llm import mixing, neardup, quality, queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages_in_turn(spark):
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The rows before each stage and after the last, all taken to the driver."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, before = [n for n, _ in corpus_pipeline.STAGES], {r.doc_id: r.text for r in docs.collect()}
-    assert names == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF)
-        after = {r.doc_id: r.text for r in docs.collect()}
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        assert set(after) <= set(before) and all(before[i] == t for i, t in after.items())
-        if name == "exact_dedup":
-            assert sorted(set(before.values())) == sorted(after.values())
-        if name == "near_dedup":
-            assert len(after) > 0.7 * len(before)
-        before = after
+    out = [(docs, {r.doc_id: r for r in docs.collect()})]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        out.append((docs, {r.doc_id: r for r in docs.collect()}))
+        assert docs.columns == COLUMNS and docs.count() == len(out[-1][1])
+    return out
+
+
+def test_names_and_rows(stages):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
+    for (_, before), (_, after) in zip(stages, stages[1:]):
+        assert set(after) < set(before) and all(before[i] == r for i, r in after.items())
+
+
+def test_quality_is_the_model_row_by_row(spark, stages):
+    docs, before = stages[0]
+    model = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    p = {i: float(model.probabilities([r.text])[0]) for i, r in before.items()}
+    assert {i for i, x in p.items() if x >= 0.5} == set(stages[1][1])
+
+
+def test_exact_dedup_keeps_the_least_id_of_each_text(stages):
+    least = {}
+    for i, r in sorted(stages[1][1].items()):
+        least.setdefault(r.text, i)
+    assert set(least.values()) == set(stages[2][1])
+
+
+def test_near_dedup_by_brute_force(stages):
+    before, after = stages[2][1], stages[3][1]
+    ids = sorted(before)
+    doc, element, weight = neardup.weighted_sets([before[i].text for i in ids])
+    sets = [dict(zip(element[doc == k].tolist(), weight[doc == k].tolist())) for k in range(len(ids))]
+    root = {i: i for i in ids}
+    for a in range(len(ids)):
+        for b in range(a):
+            both = sum(min(w, sets[b].get(e, 0)) for e, w in sets[a].items())
+            if both / (sum(sets[a].values()) + sum(sets[b].values()) - both + 1e-9) >= neardup.LEAST:
+                old, new = sorted((root[ids[a]], root[ids[b]]), reverse=True)
+                root = {i: new if r == old else r for i, r in root.items()}
+    assert set(root.values()) == set(after)
+
+
+def test_mixing_meets_the_quotas(stages):
+    before, after = (Counter(r.source for r in s[1].values()) for s in stages[3:5])
+    q = mixing.quotas(dict(before))
+    assert all(min(n, mixing.BLOCK * q[s]) - mixing.BLOCK < after.get(s, 0) <= mixing.BLOCK * q[s] for s, n in before.items())
+
+
+def test_packing_holds_every_byte(spark, stages):
+    docs, rows = stages[4]
     got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
-    assert set(got.doc_id) == set(before) and got.length.sum() == sum(len(t.encode()) for t in before.values())
+    sizes = got.groupby("doc_id").length.sum().to_dict()
+    assert sizes == {i: len(r.text.encode()) for i, r in rows.items()}
+    packs = got.sort_values(["pack_id", "offset"]).groupby("pack_id")
+    assert packs.length.sum().max() <= 8192 and all(p.offset.tolist() == [0, *np.cumsum(p.length)[:-1]] for _, p in packs)
 
 
 def test_run_is_the_stages_and_repeats(spark):
@@ -35,7 +84,7 @@ def test_run_is_the_stages_and_repeats(spark):
 def test_queries_on_the_small_tables(spark, name):
     df = queries.QUERIES[name](spark, SF)
     got = sorted(map(tuple, df.collect()), key=str)
-    assert got or name == "op4_secret_scan"  # these tables hold no secret
+    assert got or name == "op4_secret_scan"  # the smallest tables hold no secret
     if name in queries.ORACLE_SQL:
         con = duckdb.connect()
         con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
