@@ -24,7 +24,7 @@ from .shared import cut
 from .text import chunks, mix64, shingles, tokens
 
 #: Coordinates of a signature; rows of a band; words of a shingle; similarity that makes a pair.
-DARTS, ROWS, WIDTH, LEAST = 128, 4, 3, 0.5
+DARTS, ROWS, WIDTH, LEAST = 128, 4, 3, 0.45
 BANDS = DARTS // ROWS
 _ELEMENT_BITS = 44
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407))
