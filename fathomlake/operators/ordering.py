@@ -6,6 +6,7 @@ ranges are few and are summed in order; within a range a window does the rest.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -50,3 +51,18 @@ def average_ranks(df: DataFrame, column: str, rank: str, rows: int = RANGE_ROWS)
     """``(column, rank)``: the rank of each value among all rows, ties sharing the average."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_c"))
     return sums_before(counts, column, ["_c"], rows).select(column, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(rank))
+
+
+def quantiles(df: DataFrame, column: Column, shares: Sequence[float], rows: int = RANGE_ROWS) -> list[float]:
+    """Exact quantiles, interpolated, of a numeric column; empty without a value. No task holds all values."""
+    counts = df.filter(column.isNotNull()).groupBy(column.alias("_v")).agg(F.count("*").alias("_c"))
+    placed = sums_before(counts, "_v", ["_c"], rows)
+    n = placed.agg(F.sum("_c")).first()[0]
+    if not n:
+        return []
+    at = [(n - 1) * s for s in shares]
+    wanted = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
+    hit = F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("_c_before")) & (w < F.col("_c_before") + F.col("_c")))
+    found = placed.filter(hit).collect()
+    value = {w: float(r["_v"]) for r in found for w in wanted if r["_c_before"] <= w < r["_c_before"] + r["_c"]}
+    return [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
-from .ordering import sums_before
+from .ordering import quantiles, sums_before
 
 #: Shares of 0 count as this, or as a millionth of the least other share if that is greater.
 EPSILON = 1e-4
@@ -47,9 +47,8 @@ def index(reference: Sequence[float], current: Sequence[float]) -> float:
 
 def intervals(df: DataFrame, date: str, n: int) -> Column:
     """The interval of a row by quantiles of the dates, equal edges merged; the earliest is 0."""
-    edges = df.agg(F.percentile(F.unix_micros(F.col(date).cast("timestamp")), [i / n for i in range(n + 1)])).first()[0]
-    inner = sorted(set(edges or []))[1:-1]
     t = F.unix_micros(F.col(date).cast("timestamp"))
+    inner = sorted(set(quantiles(df, t, [i / n for i in range(n + 1)])))[1:-1]
     out: Column = F.lit(0)
     for e in inner:
         out = out + F.when(t > e, 1).otherwise(0)

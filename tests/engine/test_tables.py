@@ -134,6 +134,11 @@ def test_numbering_by_buckets(spark):
         assert [r.n for r in got] == list(range(1000))
         sums = ordering.sums_before(df.withColumn("w", F.col("v") * 2), "v", ["w"], rows).orderBy("v").collect()
         assert [r.w_before for r in sums] == [sum(2 * x.v for x in got[:i]) for i in range(1000)]
+    x = np.random.default_rng(4).integers(0, 50, 300) / 7
+    data = table(spark, "x double", [(float(v),) for v in x] + [(None,)])
+    for rows in (7, 1000):
+        assert np.allclose(ordering.quantiles(data, F.col("x"), [0, 0.13, 0.5, 0.77, 1], rows), np.quantile(x, [0, 0.13, 0.5, 0.77, 1]))
+    assert ordering.quantiles(data.limit(0), F.col("x"), [0.5]) == []
     ties = table(spark, "x double", [(x,) for x in (5.0, 1.0, 5.0, None, 2.0)])
     assert dict(map(tuple, ordering.average_ranks(ties, "x", "r").collect())) == {1.0: 1.0, 2.0: 2.0, 5.0: 3.5}
 
