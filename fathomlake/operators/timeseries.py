@@ -103,8 +103,9 @@ class TimeSeries(Operator):
             present = present & F.col(g).isNotNull()
         if among is not None:
             present = present & among
-        place = Window.partitionBy(*groups, at, *([present] if among is not None else [])).orderBy(frame.ordering())
-        live = frame.add(present & (F.row_number().over(place) == 1))
+        # Partitioned like all that follows, and sorted more finely, so this costs no shuffle or sort of its own.
+        rows = Window.partitionBy(*(groups or [F.lit(0)]), *([present] if among is not None else [])).orderBy(at, frame.ordering())
+        live = frame.add(present & ~F.lag(at).over(rows).eqNullSafe(F.col(at)))
         number = frame.add(finite(F.expr(f"try_cast(`{value}` AS DOUBLE)")))
         frame.settle()
         s = Series(frame, groups, at, live, number)
