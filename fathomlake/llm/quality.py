@@ -51,12 +51,15 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
             for begin, end in chunks(texts):
                 w, bounds = _slots(texts[begin:end])
                 doc = np.repeat(np.arange(end - begin), np.diff(bounds))
+                word, other = [], []
                 for off in range(1, REACH + 1):
                     near = doc[off:] == doc[:-off]
                     a, c = w[:-off][near], w[off:][near]
-                    for x, y in ((a, c), (c, a)):
-                        at = (x[:, None] * DIM + place[y]).ravel()
-                        total += np.bincount(at, weights=sign[y].ravel(), minlength=SLOTS * DIM)
+                    word += [a, c]
+                    other += [c, a]
+                y = np.concatenate(other)
+                at = (np.concatenate(word)[:, None] * DIM + place[y]).ravel()
+                total += np.bincount(at, weights=sign[y].ravel(), minlength=SLOTS * DIM)
         table = total.reshape(SLOTS, DIM)
         k = np.flatnonzero(table.any(axis=1))
         yield pd.DataFrame(np.column_stack([k, table[k]]), columns=["slot", *(f"v{i}" for i in range(DIM))]).astype({"slot": "int32"})

@@ -9,7 +9,7 @@ import numpy as np
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters handled at once; a longer text is a chunk of its own.
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 16
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
