@@ -2,8 +2,9 @@
 
 A hierarchical k-means tree is searched best bin first: a priority queue holds
 the nodes seen so far by the distance of their centres, the nearest is opened
-next, and leaves are compared in full. How many leaves a query visits is widened
-until the recall on a sample of queries, against exact search, reaches the target.
+next, and leaves are compared in full. How far beyond the nearest leaf a query goes
+is widened until the recall on a sample of queries, against exact search, reaches
+the target.
 
 The top of the tree, down to cells of a fixed number of vectors, is built over
 all vectors by distributed Lloyd steps; the tree inside a cell is built by the
@@ -59,23 +60,45 @@ class Tree:
                 todo += kids
         return at
 
-    def best_first(self, x: np.ndarray, visits: int) -> list[list[int]]:
-        """The first ``visits`` leaves of each vector in the order of a priority queue over the nodes."""
-        d = _squared(x, self.centres)
-        out = []
-        for row in d:
-            heap, seen = [(0.0, 0)], []
-            while heap and len(seen) < visits:
-                node = heapq.heappop(heap)[1]
-                kids = self.children[node]
-                if kids:
-                    for c in kids:
+    def best_first(self, x: np.ndarray, width: float, sizes: dict[int, int] | None = None, least: int = 0) -> list[list[int]]:
+        """The leaves that each vector visits, in order.
+
+        A priority queue opens the node nearest by its centre. From the first
+        leaf on, nodes count only up to ``width`` times the farthest distance
+        opened until then (0: that leaf alone, infinite: all leaves). So a vector
+        inside a cluster visits few leaves, and one between many visits many.
+        With ``sizes`` of leaves it goes on in any case until it has seen ``least`` vectors.
+        """
+        out, children = [], self.children
+        for row in _squared(x, self.centres).tolist():
+            heap, seen, top, bound, lacking = [(0.0, 0)], [], 0.0, np.inf, least
+            while heap and (heap[0][0] <= bound or lacking > 0):
+                key, node = heapq.heappop(heap)
+                if key > top:
+                    top = key
+                if children[node]:
+                    for c in children[node]:
                         heapq.heappush(heap, (row[c], c))
                 else:
+                    if not seen:
+                        bound = width * width * (top + 1e-9) if np.isfinite(width) else np.inf
                     seen.append(node)
+                    lacking -= sizes[node] if sizes else 0
+                    if width == 0 and lacking <= 0:
+                        break
             out.append(seen)
         return out
 
+    def width_to(self, x: np.ndarray) -> np.ndarray:
+        """The least width with which each vector visits each node (columns): the farthest node on its path by that to the first leaf."""
+        far = _squared(x, self.centres)
+        far[:, 0] = 0
+        for node, kids in enumerate(self.children):  # parents come before children
+            for c in kids:
+                far[:, c] = np.maximum(far[:, c], far[:, node])
+        first = far[:, self.leaves].min(axis=1)
+        return np.sqrt((far + 1e-12) / (first + 1e-9)[:, None])
+
     @property
     def leaves(self) -> list[int]:
         return [i for i, c in enumerate(self.children) if not c]
@@ -119,20 +142,20 @@ def local_tree(x: np.ndarray, leaf: int = LEAF, seed: int = 7) -> tuple[Tree, np
     return Tree(np.array(centres), children), at
 
 
-def search_cell(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, visits: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_cell(x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, width: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of the query, id, squared distance) of up to ``k`` vectors of the cell for each query; none has the query's name. ``ids`` rise."""
     tree, at = local_tree(x, seed=seed)
     rows_of = {node: np.flatnonzero(at == node) for node in tree.leaves}
-    parts = [_search_part(tree, rows_of, x, ids, q[s : s + ASKED], names[s : s + ASKED], k, visits) for s in range(0, len(q), ASKED)]
+    parts = [_search_part(tree, rows_of, x, ids, q[s : s + ASKED], names[s : s + ASKED], k, width) for s in range(0, len(q), ASKED)]
     if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     who = np.concatenate([p[0] + i * ASKED for i, p in enumerate(parts)])
     return who, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
 
 
-def _search_part(tree: Tree, rows_of: dict[int, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, visits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _search_part(tree: Tree, rows_of: dict[int, np.ndarray], x: np.ndarray, ids: np.ndarray, q: np.ndarray, names: np.ndarray, k: int, width: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     by_leaf: dict[int, list[int]] = {}
-    for i, seen in enumerate(tree.best_first(q, visits)):
+    for i, seen in enumerate(tree.best_first(q, width, {n: len(r) for n, r in rows_of.items()}, k + 1)):
         for node in seen:
             by_leaf.setdefault(node, []).append(i)
     found: list[tuple[np.ndarray, ...]] = []
@@ -245,46 +268,44 @@ def exact(cells: DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).filter(F.col("r") <= k).drop("r").toPandas()
 
 
-def calibrate(cells: DataFrame, queries: pd.DataFrame, tree: Tree, k: int, target: float, seed: int) -> tuple[int, int]:
-    """How many cells, and leaves of each, a search must visit to find ``target`` of the sample's neighbours, at least cost.
+def calibrate(cells: DataFrame, queries: pd.DataFrame, tree: Tree, k: int, target: float, seed: int) -> tuple[float, float]:
+    """The widths of the searches among cells and within them that find ``target`` of the sample's neighbours.
 
-    Best-bin-first order is the same in every search, so it is enough to know at
-    which visit each true neighbour is met: one pass finds the neighbours,
-    another the place of their leaves. Visits are then widened until enough are met.
+    What a search visits grows with its width, so it is enough to know at which
+    width each true neighbour is met: one pass finds the neighbours, another the
+    widths to their leaves. Each width is then raised until it loses no more
+    than half of what may be missed.
     """
     true = exact(cells, queries, k).merge(queries.rename(columns={"id": "q"}), on="q")
-    order = tree.best_first(np.stack(queries["v"].to_numpy()), len(tree.leaves))
-    place = {(q, cell): i + 1 for q, seen in zip(queries["id"], order) for i, cell in enumerate(seen)}
-    true["m"] = [place[q, c] for q, c in zip(true["q"], true["cell"])]
+    if not len(true):
+        return np.inf, np.inf
+    to = tree.width_to(np.stack(true["v"].to_numpy()))
+    outer = to[np.arange(len(true)), true["cell"].to_numpy()]
 
     def meet(data: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(data) or not len(asked):
-            return pd.DataFrame({"q": [], "id": [], "w": []})
+            return pd.DataFrame({"w": []})
         data = data.sort_values("id")
         local, at = local_tree(np.stack(data["v"].to_numpy()), seed=seed)
-        own = dict(zip(data["id"], at.tolist()))
-        seen = local.best_first(np.stack(asked["v"].to_numpy()), len(local.leaves))
-        return pd.DataFrame({"q": asked["q"], "id": asked["id"], "w": [s.index(own[i]) + 1 for s, i in zip(seen, asked["id"])]})
+        place = at[np.searchsorted(data["id"].to_numpy(), asked["id"].to_numpy())]
+        return pd.DataFrame({"w": local.width_to(np.stack(asked["v"].to_numpy()))[np.arange(len(asked)), place]})
 
     wanted = cells.sparkSession.createDataFrame(true[["q", "id", "cell", "v"]], "q long, id long, cell long, v array<float>")
-    met = cells.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInPandas(meet, "q long, id long, w long").toPandas()
-    true = true.merge(met, on=["q", "id"])
-    need, best = int(np.ceil(target * len(true))), None
-    for m in sorted(set(true["m"])):
-        leaves = np.sort(true["w"][true["m"] <= m])
-        if len(leaves) >= need and (best is None or m * leaves[need - 1] < best[0] * best[1]):
-            best = int(m), int(leaves[need - 1])
-    return best or (1, 1)
+    inner = cells.groupBy("cell").cogroup(wanted.groupBy("cell")).applyInPandas(meet, "w double").toPandas()["w"].to_numpy()
+    most = int((1 - target) / 2 * len(true))
+    return tuple(float(np.sort(w)[len(w) - 1 - most]) * (1 + 1e-6) for w in (outer, inner))
 
 
-def _search(cells: DataFrame, queries: DataFrame, tree: Tree, k: int, cells_visited: int, leaves_visited: int, seed: int) -> DataFrame:
+def _search(cells: DataFrame, queries: DataFrame, tree: Tree, k: int, outer: float, inner: float, seed: int) -> DataFrame:
     """``(vec_id, neighbor_id, rank, distance)`` of the queries ``(id, v)`` in ``cells`` ``(cell, id, v)``."""
 
+    sizes = {leaf: 0 for leaf in tree.leaves} | dict(map(tuple, cells.groupBy("cell").count().collect()))
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for s in range(0, len(b), 1000):
                 part = b.iloc[s : s + 1000]
-                seen = tree.best_first(np.stack(part["v"].to_numpy()), cells_visited)
+                seen = tree.best_first(np.stack(part["v"].to_numpy()), outer, sizes, k + 1)
                 n = np.fromiter(map(len, seen), int)
                 yield pd.DataFrame({"cell": np.concatenate(seen).astype(np.int64), "id": np.repeat(part["id"].to_numpy(), n), "v": np.repeat(part["v"].to_numpy(), n)})
 
@@ -295,7 +316,7 @@ def _search(cells: DataFrame, queries: DataFrame, tree: Tree, k: int, cells_visi
             return pd.DataFrame({"vec_id": [], "neighbor_id": [], "d": []})
         data = data.sort_values("id")
         names = asked["id"].to_numpy()
-        who, ident, dist = search_cell(np.stack(data["v"].to_numpy()), data["id"].to_numpy(), np.stack(asked["v"].to_numpy()), names, k, leaves_visited, seed)
+        who, ident, dist = search_cell(np.stack(data["v"].to_numpy()), data["id"].to_numpy(), np.stack(asked["v"].to_numpy()), names, k, inner, seed)
         return pd.DataFrame({"vec_id": names[who], "neighbor_id": ident, "d": dist.astype(float)})
 
     found = cells.groupBy("cell").cogroup(routed.groupBy("cell")).applyInPandas(within, "vec_id long, neighbor_id long, d double")
@@ -323,5 +344,5 @@ def neighbours(vectors: DataFrame, k: int = 10, target: float = TARGET, cell: in
 
     cells = cut(rows.mapInPandas(place, "cell long, id long, v array<float>"))
     asked = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
-    visits, leaves_visited = calibrate(cells, asked.toPandas(), tree, k, target, seed)
-    return _search(cells, rows, tree, k, visits, leaves_visited, seed)
+    outer, inner = calibrate(cells, asked.toPandas(), tree, k, target, seed)
+    return _search(cells, rows, tree, k, outer, inner, seed)

@@ -36,7 +36,7 @@ def test_visiting_all_leaves_is_exact():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(700, 8)).astype(np.float32)
     ids = np.arange(700)
-    who, near, dist = ann.search_cell(x, ids, x[:50], ids[:50], 4, 10**6)
+    who, near, dist = ann.search_cell(x, ids, x[:50], ids[:50], 4, np.inf)
     d = ann._squared(x[:50], x)
     d[np.arange(50), np.arange(50)] = np.inf
     assert (near.reshape(50, 4) == np.argsort(d, axis=1)[:, :4]).all() and (np.diff(dist.reshape(50, 4)) >= 0).all()
@@ -44,7 +44,12 @@ def test_visiting_all_leaves_is_exact():
 
 def test_best_first_opens_the_nearest_first():
     tree = ann.Tree(np.array([[0.0], [-5], [5], [-6], [-4], [4], [9]]), [list(k) for k in ((1, 2), (3, 4), (5, 6), (), (), (), ())])
-    assert tree.best_first(np.array([[-5.9], [4.4], [0.4]]), 3) == [[3, 4, 5], [5, 6, 4], [5, 4, 3]]
+    x = np.array([[-5.9], [4.4], [0.4]])
+    assert tree.best_first(x, np.inf) == [[3, 4, 5, 6], [5, 6, 4, 3], [5, 4, 3, 6]] and tree.best_first(x, 0) == [[3], [5], [5]]
+    widths = tree.width_to(x)
+    for w in (1.01, 1.3, 2.5, 12.0, 40.0):
+        for i, seen in enumerate(tree.best_first(x, w)):
+            assert set(seen) == {n for n in tree.leaves if widths[i, n] <= w}
 
 
 def test_equal_vectors_and_ties(spark):
