@@ -2,13 +2,14 @@
 
 Random strings compress badly under a tokenizer's vocabulary: a word or a path
 has many characters per token, a key few. Candidates are the runs of key
-characters in a text; those that are known digests or identifiers are left out;
-what remains with a low ratio of characters to tokens is reported.
+characters in a text and their pieces; those that are known digests or
+identifiers are left out; what remains with a low ratio of characters to tokens
+is reported.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,20 @@ from pyspark.sql import functions as F
 
 from .tokencount import PATTERN, RANKS, load_ranks
 
-#: A candidate: a run of key characters with at least one digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]*[0-9])[A-Za-z0-9_+/=.\-]{16,}"
+#: A run of key characters, which is cut into candidates.
+CANDIDATE = r"(?<![A-Za-z0-9_+/=.\-])[A-Za-z0-9_+/=.\-]{16,}"
+LEAST = 16
+_PIECE, _PART = regex.compile(r"[^=/.]+"), regex.compile(r"[^_\-]+")
+_BASE64 = regex.compile(r"[A-Za-z0-9+/]+(?:={1,2}(?![A-Za-z0-9_+/=.\-]))?")
 _UUID = regex.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
-_DIGEST = regex.compile(r"(?i)(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+_DIGEST = regex.compile(r"(?i)(?:(?:md5|sha\d{0,3}|blake\w{0,4})[\-_])?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
+_INTEGRITY = regex.compile(r"(?i)sha(?:256-[a-z0-9+/]{43}=?|384-[a-z0-9+/]{64}|512-[a-z0-9+/]{86}(?:==)?)(?![a-z0-9+/])")
 _CREDENTIAL = regex.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credential)[\w\-]{0,20}[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")
-_PLAIN = regex.compile(r"[\d.+\-/=_]+|(?:\d{1,4}[.\-/_]){2,}.*|[A-Za-z]+[.\-_/]?\d{1,4}")
+_PLAIN = regex.compile(r"[\d.+\-/=_]+|(?:\d{1,4}[.\-/_]){2,}.*")
 
 
 def is_known(candidate: str, before: str) -> bool:
-    """Whether a candidate is a number, a date, a UUID, a name with a number or a digest.
+    """Whether a candidate is a number, a date, a UUID or a digest, with the name of its hash or without.
 
     A string of a digest's form that a credential's name introduces is not taken for a digest.
     """
@@ -38,6 +43,43 @@ def is_known(candidate: str, before: str) -> bool:
     return bool(_DIGEST.fullmatch(core)) and not _CREDENTIAL.search(before)
 
 
+def secrets(text: str, begin: int, end: int, ratio: Callable[[str], float], least_ratio: float, skip: frozenset[str] = frozenset()) -> Iterator[tuple[int, int]]:
+    """Begin and end of each secret in a run of key characters.
+
+    A name, a path or a sentence's end must not be weighed with the secret beside
+    it: a run is scored in pieces between ``=``, ``/`` and ``.``, and where a piece
+    is none, in parts between ``_`` and ``-``. As base64 has ``/`` and ``=`` itself, a
+    run of it counts as a whole if no piece of it is like words or known.
+    """
+
+    def known(i: int, j: int) -> bool:
+        return text[i:j].lower() in skip or is_known(text[i:j], text[max(0, i - 48) : i])
+
+    def secret(i: int, j: int) -> bool:
+        return j - i >= LEAST and not known(i, j) and ratio(text[i:j]) < least_ratio
+
+    end = begin + len(text[begin:end].rstrip(".-"))
+    if text[begin:end].lower() in skip:
+        return
+    taken = [m.span() for m in _INTEGRITY.finditer(text, begin, end) if not _CREDENTIAL.search(text[max(0, m.start() - 48) : m.start()])]
+    free = lambda i, j: all(j <= a or i >= b for a, b in taken)
+    for m in _BASE64.finditer(text, begin, end):
+        if not regex.search(r"[/=]", m.group()) or not free(*m.span()) or not secret(*m.span()):
+            continue
+        pieces = [p.span() for p in _PIECE.finditer(text, *m.span())]
+        if not any(j - i >= LEAST and known(i, j) or j - i >= 4 and ratio(text[i:j]) >= least_ratio for i, j in pieces):
+            taken.append(m.span())
+            yield m.span()
+    for m in _PIECE.finditer(text, begin, end):
+        i, j = m.start(), m.start() + len(m.group().rstrip("-"))
+        if j - i < LEAST or not free(i, j) or text[i:j].lower() in skip:
+            continue
+        if secret(i, j):
+            yield i, j
+        else:
+            yield from (p.span() for p in _PART.finditer(text, i, j) if p.end() - p.start() < j - i and secret(*p.span()))
+
+
 def scan(docs: DataFrame, ranks_path: str = RANKS, least_ratio: float = 2.2, known: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, position, n_chars, n_tokens, ratio, masked)``, one row for each secret found.
 
@@ -56,12 +98,9 @@ def scan(docs: DataFrame, ranks_path: str = RANKS, least_ratio: float = 2.2, kno
             rows = []
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"]):
                 for m in find(text):
-                    s = m.group().rstrip(".-")
-                    if len(s) < 16 or s.lower() in skip or is_known(s, text[max(0, m.start() - 48) : m.start()]):
-                        continue
-                    n = len(enc.encode_ordinary(s))
-                    if len(s) / n < least_ratio:
-                        rows.append((doc_id, m.start(), len(s), n, len(s) / n, s[:4] + "*" * 8))
+                    for i, j in sorted(secrets(text, *m.span(), lambda s: len(s) / len(enc.encode_ordinary(s)), least_ratio, skip)):
+                        n = len(enc.encode_ordinary(text[i:j]))
+                        rows.append((doc_id, i, j - i, n, (j - i) / n, text[i : i + 4] + "*" * 8))
             yield pd.DataFrame(rows, columns=["doc_id", "position", "n_chars", "n_tokens", "ratio", "masked"]).astype({"doc_id": "Int64"})
 
     return (

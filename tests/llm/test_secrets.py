@@ -1,4 +1,5 @@
 import random
+import string
 
 from fathomlake.llm import secrets
 
@@ -45,3 +46,46 @@ def test_edge_cases(edge, empty, make):
     assert rows(secrets.scan(edge)) == [] and secrets.scan(empty).count() == 0
     twice = make([row(None, f"token = {HEX}")] * 2)
     assert [r.doc_id for r in secrets.scan(twice).collect()] == [None, None]
+
+
+def random_strings(letters, n, count=200, seed=5):
+    r = random.Random(seed)
+    return ["".join(r.choice(letters) for _ in range(n)) for _ in range(count)]
+
+
+def share_found(make, lines, strings):
+    """The share of strings of which the report of their own line says exactly the place."""
+    got = {(r.doc_id, r.position, r.n_chars) for r in secrets.scan(make([row(i, t) for i, t in enumerate(lines)])).collect()}
+    return sum((i, t.index(s), len(s)) in got for i, (t, s) in enumerate(zip(lines, strings))) / len(lines)
+
+
+def test_keys_of_letters_only(make):
+    mixed, lower = random_strings(string.ascii_letters, 24), random_strings(string.ascii_lowercase, 16)
+    assert share_found(make, [f"see {s} here" for s in mixed], mixed) >= 0.99
+    assert share_found(make, [f"password: {s}" for s in lower], lower) >= 0.93
+    numbered = [s + "7" for s in lower]
+    assert share_found(make, [f"password: {s}" for s in numbered], numbered) >= 0.9
+
+
+def test_names_and_paths_do_not_dilute_a_secret(make):
+    base62 = string.ascii_letters + string.digits
+    short, long = random_strings(base62, 16), random_strings(base62, 20)
+    for line, strings in (("database_password={}", short), ("authentication_token={}", long), ("www.example.com/account/reset/password/token/{}", long), ("production-administrator-authentication-configuration_{}", long)):
+        assert share_found(make, [line.format(s) for s in strings], strings) >= 0.99, line
+
+
+def test_base64_is_taken_whole(make):
+    base64 = [s + "==" for s in random_strings(string.ascii_letters + string.digits + "+/", 38)]
+    assert share_found(make, [f"value {s} end" for s in base64], base64) >= 0.93
+    assert found(make, "see /home/people/documents/reports/summary/index.html") == []
+
+
+def test_digests_after_a_name_or_a_path(make):
+    integrity = random_strings(string.ascii_letters + string.digits + "+/", 64, 1)[0]
+    clean = [
+        f"sha1={HEX}", f"the sha1-{HEX}", f"/objects/store/{HEX}.json", f"https://example.com/blobs/sha1/{HEX}", f'integrity="sha384-{integrity}"', "id=123e4567-e89b-12d3-a456-426614174000",
+    ]
+    assert [found(make, t) for t in clean] == [[]] * len(clean)
+    text = f"access_token={HEX}"
+    assert found(make, text) == [(text.index(HEX), 40)]
+    assert found(make, f"key={KEY}", known=(KEY.upper(),)) == []
