@@ -23,18 +23,33 @@ from .shared import cut, free
 
 #: Documents in a block, documents in a shard, rows in a bucket that one task orders.
 BLOCK, SHARD_DOCS, BUCKET_ROWS = 16, 1024, 100_000
-#: Without given weights a source weighs its size to this power. Share of the documents to draw.
-POWER, SHARE = 0.7, 0.8
+#: Without given weights a source weighs its size to this power.
+POWER = 0.7
 
 
-def quotas(sizes: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, share: float = SHARE, block: int = BLOCK) -> dict[str | None, int]:
+def targets(sizes: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None) -> dict[str | None, int]:
+    """Documents to draw from each source: by weight, the most for which none runs out.
+
+    The source that is scarcest for its weight gives all it has. Any source with
+    weight gives one document at least.
+    """
+    w = {s: n**POWER if weights is None else max(0.0, float(weights.get(s, 0.0))) for s, n in sizes.items()}
+    level = min((n / w[s] for s, n in sizes.items() if w[s] > 0 and n), default=0.0)
+    return {s: min(n, max(1, round(w[s] * level))) if w[s] > 0 else 0 for s, n in sizes.items()}
+
+
+def quotas(sizes: Mapping[str | None, int], weights: Mapping[str | None, float] | None = None, share: float | None = None, block: int = BLOCK) -> dict[str | None, int]:
     """Blocks to draw from each source.
 
-    ``share`` of all documents is divided by weight; a source that has too few
-    gives all it has and the others fill in by their weights. No document is
-    drawn twice. Fractions of blocks go to the largest remainders.
+    They hold the ``targets``, the last not in full. If ``share`` is given, that share
+    of all documents is divided by weight instead; a source that has too few
+    gives all it has and the others fill in by their weights, so that achieved weights
+    may differ. No document is drawn twice. Fractions of blocks go to the largest remainders.
     """
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    if share is None:
+        docs = targets(sizes, weights)
+        return {s: ceil(docs[s] / block) for s in names}
     n = np.array([sizes[s] for s in names], dtype=float)
     w = n**POWER if weights is None else np.array([max(0.0, float(weights.get(s, 0.0))) for s in names])
     limit = np.where(w > 0, np.ceil(n / block), 0)
@@ -79,17 +94,18 @@ def leaves(node: tuple, total: int, shards: int, seed: int) -> Iterator[tuple]:
             todo += split(lo, hi, begin, have, total, shards, seed)[::-1]
 
 
-def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float = SHARE, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
+def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
     """``(doc_id, source, shard, position, block)`` of the documents drawn.
 
     A null source is a source, named None in ``weights``; a null id is an id;
-    rows of equal id and source are drawn one by one. The last block of a source
-    may be short, which is the only deviation from its quota. An empty table, or
-    weights of 0, draw nothing.
+    rows of equal id and source are drawn one by one. Sources give exactly their
+    ``targets``; with ``share`` their quotas, from which only the last block of a source,
+    which may be short, deviates. An empty table, or weights of 0, draw nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     drawn = quotas(sizes, weights, share, block)
+    docs_of = targets(sizes, weights) if share is None else {s: n * block for s, n in drawn.items()}
     names, total = list(drawn), sum(drawn.values())
     shards = max(1, ceil(total * block / shard_docs))
     spark, rng = docs.sparkSession, np.random.default_rng(seed)
@@ -115,7 +131,8 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sha
     for i, s in enumerate(names):
         blocks = max(1, ceil(sizes[s] / block))
         step = next(a for a in iter(lambda: int(rng.integers(1, max(2, min(blocks, 1 << 31)))), None) if gcd(a, blocks) == 1)
-        facts.append((s, i, max(1, ceil(sizes[s] / BUCKET_ROWS)), blocks, step, int(rng.integers(0, blocks)), drawn[s]))
+        shift = (step - 1) % blocks  # the last block, which may be short, has the last place
+        facts.append((s, i, max(1, ceil(sizes[s] / BUCKET_ROWS)), blocks, step, shift, docs_of[s]))
     kinds = [("s", pa.string()), ("sid", pa.int32()), *((c, pa.int64()) for c in ("buckets", "blocks", "step", "shift", "quota"))]
     about = spark.createDataFrame(pa.table({c: pa.array([f[i] for f in facts], kind) for i, (c, kind) in enumerate(kinds)}))
     known = rows.join(about, F.col("source").eqNullSafe(F.col("s"))).filter("quota > 0")
@@ -124,9 +141,9 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sha
     before = counts.select("sid", "bucket", (F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")).alias("base"))
     order = Window.partitionBy("sid", "bucket").orderBy("h", F.col("doc_id").asc_nulls_last())
     ranked = known.withColumn("r", F.row_number().over(order)).join(before, ["sid", "bucket"])
-    block_no = F.floor((F.col("base") + F.col("r") - 1) / F.lit(block))
-    ranked = ranked.withColumn("block", block_no).withColumn("place", F.pmod(F.col("block") * F.col("step") + F.col("shift"), F.col("blocks")))
-    dealt = ranked.filter("place < quota").select("doc_id", "source", "sid", "h", "block", "place").join(deal, ["sid", "place"])
+    at = F.col("base") + F.col("r") - 1
+    ranked = ranked.withColumn("block", F.floor(at / F.lit(block))).withColumn("slot", at % block).withColumn("place", F.pmod(F.col("block") * F.col("step") + F.col("shift"), F.col("blocks")))
+    dealt = ranked.filter(F.col("place") * block + F.col("slot") < F.col("quota")).select("doc_id", "source", "sid", "h", "block", "place").join(deal, ["sid", "place"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "shard", "h"), F.col("doc_id").asc_nulls_last(), "sid")
     return dealt.select("doc_id", "source", "shard", (F.row_number().over(local) - 1).cast("long").alias("position"), "block")
 

@@ -75,6 +75,32 @@ def test_whole_rows(docs):
     assert out.schema == docs.schema and rows(out.select("doc_id")) == plan
 
 
+@pytest.mark.parametrize("sizes", [{"hot": 90_000, **dict.fromkeys("abcde", 2000)}, {"hot": 200_000, **{f"s{i}": 4000 for i in range(20)}}, {f"s{i}": 500 for i in range(20)}])
+@pytest.mark.parametrize("given", [False, True])
+def test_targets_meet_the_weights(sizes, given):
+    w = {s: 1.0 + i % 3 for i, s in enumerate(sizes)} if given else {s: n**0.7 for s, n in sizes.items()}
+    got = mixing.targets(sizes, w if given else None)
+    total = sum(got.values())
+    assert all(abs(got[s] - total * w[s] / sum(w.values())) <= 1 + len(sizes) / 10 for s in sizes)
+    assert all(got[s] <= n for s, n in sizes.items()) and any(got[s] == n for s, n in sizes.items())
+
+
+def test_drawn_shares_are_the_weights(make):
+    skewed = {"hot": 1500, "a": 50, "b": 50, "c": 37}
+    docs = make([row(i, "t", "en", s) for i, s in enumerate(s for s, n in skewed.items() for _ in range(n))])
+    for weights in (None, {"hot": 3, "a": 1, "b": 1}, {"hot": 1, "c": 1}):
+        w = {s: n**0.7 for s, n in skewed.items()} if weights is None else weights
+        n = Counter(r.source for r in mixing.plan(docs, weights=weights).collect())
+        total = sum(n.values())
+        assert all(abs(n[s] - total * w.get(s, 0) / sum(w.values())) <= 1.5 for s in skewed)
+        assert any(n[s] == skewed[s] for s in w)
+
+
+def test_sources_that_meet_the_weights_are_drawn_whole(make):
+    docs = make([row(i, "t", "en", f"s{i % 5}") for i in range(5 * 50)])
+    assert rows(mixing.plan(docs).select("doc_id")) == [(i,) for i in range(250)]
+
+
 def test_edge_cases(edge, empty, make):
     every = mixing.plan(edge, share=1.0, block=1)
     assert rows(every.select("doc_id", "source")) == rows(edge.select("doc_id", "source"))
