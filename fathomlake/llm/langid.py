@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import chunks, codepoints
@@ -138,10 +138,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def train(docs: DataFrame, max_rows: int = 2000, text: str = "text", label: str = "lang", seed: int = 7) -> Model:
-    """Fit on at most ``max_rows`` labelled rows, spread evenly over the labels.
+    """Fit on at most ``max_rows // labels`` rows of each label, or all it has (one at least, however many labels there are).
 
-    Which rows is decided by a hash of the text, so it repeats. A fifth of them is
-    held out for the temperature. Idf comes from all documents.
+    Which rows is decided by a hash of the text, so it repeats. A fifth of each
+    label's is held out for the temperature, so every label is trained on. Idf
+    comes from all documents.
     """
     labelled = docs.select(F.col(text).alias("t"), F.col(label).alias("y")).filter("t is not null and y is not null and t <> ''")
     per_label = {r.y: r.n for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -150,10 +151,14 @@ def train(docs: DataFrame, max_rows: int = 2000, text: str = "text", label: str
     if not classes:
         return Model([], idf, np.zeros((DIM, 0)), np.zeros(0), 1.0)
     share = max(1, max_rows // len(classes))
-    cuts = F.create_map(*[F.lit(x) for c in classes for x in (c, min(1.0, 1.2 * share / per_label[c]))])
     place = (F.xxhash64(F.lit(seed), "t") / F.lit(float(1 << 64)) + 0.5).alias("u")
+    least = Window.partitionBy("y").orderBy("u")
+    hashed = labelled.select("y", place).withColumn("r", F.row_number().over(least)).filter(F.col("r") <= share)
+    last = {r.y: r.u for r in hashed.groupBy("y").agg(F.max("u").alias("u")).collect()}
+    cuts = F.create_map(*[F.lit(x) for c in classes for x in (c, last[c])])
+    # The texts of these places only are moved; of equal places (copies) no more than the share.
     chosen = labelled.withColumn("u", place).filter(F.col("u") <= cuts[F.col("y")])
-    chosen = chosen.orderBy("u", "y").limit(max_rows)
+    chosen = chosen.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= share)
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,13 +168,14 @@ def train(docs: DataFrame, max_rows: int = 2000, text: str = "text", label: str
                 x = row[at] * idf[at]
                 k.append(at.astype(np.uint16).tobytes())
                 v.append((x / np.sqrt(x @ x)).astype(np.float32).tobytes())
-            yield pd.DataFrame({"y": b["y"], "k": k, "v": v})
+            yield pd.DataFrame({"u": b["u"], "y": b["y"], "k": k, "v": v})
 
-    got = chosen.mapInPandas(featurise, "y string, k binary, v binary").toPandas()
+    got = chosen.mapInPandas(featurise, "u double, y string, k binary, v binary").toPandas().sort_values(["u", "y", "k", "v"])
     rows = [(np.frombuffer(k, np.uint16).astype(np.intp), np.frombuffer(v, np.float32).astype(float)) for k, v in zip(got["k"], got["v"])]
     y = np.array([classes.index(c) for c in got["y"]], dtype=int)
     order = np.random.default_rng(seed).permutation(len(rows))
-    held, fit = np.split(order, [len(order) // 5])
+    own = [order[y[order] == c] for c in range(len(classes))]
+    held, fit = (order[np.isin(order, np.concatenate(part))] for part in ([o[: len(o) // 5] for o in own], [o[len(o) // 5 :] for o in own]))
     w, b = ftrl([rows[i] for i in fit], y[fit], len(classes), seed=seed)
     scores = np.array([rows[i][1] @ w[rows[i][0]] + b for i in held]).reshape(len(held), len(classes))
     return Model(classes, idf, w, b, temperature(scores, y[held]))

@@ -25,6 +25,25 @@ def test_held_out_accuracy_and_calibration(make):
     assert (model.weights == 0).mean() > 0.3  # the first penalty makes weights vanish
 
 
+def test_rare_label_is_trained_on(make):
+    sizes = {"aa": 600, "a2": 600, "a3": 600, "bb": 600, "b2": 600, "cc": 6}
+    docs = make([row(i, prose(c[0] * 2, 10_000 * k + i, 8), c) for k, (c, n) in enumerate(sizes.items()) for i in range(n)])
+    model = langid.train(docs, max_rows=60)
+    p = model.probabilities([prose("cc", 7_000_000 + i, 40) for i in range(50)])
+    assert np.mean([model.classes[k] == "cc" for k in p.argmax(1)]) >= 0.9
+
+
+def test_training_rows_of_each_label(make, monkeypatch):
+    seen = []
+    ftrl = langid.ftrl
+    monkeypatch.setattr(langid, "ftrl", lambda rows, labels, n, **o: seen.append(np.bincount(labels, minlength=n).tolist()) or ftrl(rows, labels, n, **o))
+    sizes = {"aa": 900, "bb": 300, "cc": 30, "dd": 3, "ee": 1}
+    docs = [row(i, prose("aa", 10_000 * k + i, 5), c) for k, (c, n) in enumerate(sizes.items()) for i in range(n)] + [row(9, "one text again and again", "ff")] * 400
+    langid.train(make(docs), max_rows=120)  # 20 a label, a fifth of which is held out
+    langid.train(make(docs), max_rows=3)
+    assert seen == [[16, 16, 16, 3, 1, 16], [1] * 6]
+
+
 def test_document_frequencies_count_all_documents(make):
     texts = ["abc", "abd", "", None, "xyz" * 50, "abc"]
     df = langid.document_frequencies(make([row(i, t) for i, t in enumerate(texts)]))
