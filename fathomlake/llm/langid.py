@@ -8,14 +8,17 @@ Document frequencies are counted over every document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField
 
+from .shared import appended
 from .text import chunks, codepoints
 
 BITS = 14
@@ -60,9 +63,9 @@ class Model:
     def probabilities(self, texts: list[str]) -> np.ndarray:
         scores = np.empty((len(texts), len(self.classes)), np.float64)
         for i, row in counts(texts):
-            x = row * self.idf
-            norm = np.sqrt(x @ x)
-            scores[i] = (x @ self.weights) / (norm or 1.0) + self.bias
+            at = np.flatnonzero(row)
+            x = row[at] * self.idf[at]
+            scores[i] = (x @ self.weights[at]) / (np.sqrt(x @ x) or 1.0) + self.bias
         return softmax(scores / self.temperature)
 
 
@@ -190,17 +193,17 @@ def identify(docs: DataFrame, max_rows: int = 2000, model: Model | None = None)
     """
     m = model or train(docs, max_rows)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = b[["doc_id", "lang"]].copy()
-            out["predicted"], out["confidence"] = None, None
-            has = b["text"].fillna("").str.len().to_numpy() > 0
-            if has.any() and m.classes:
-                p = m.probabilities(b["text"][has].tolist())
-                best = p.argmax(axis=1)
-                out.loc[has, "predicted"] = np.array(m.classes, dtype=object)[best]
-                out.loc[has, "confidence"] = p[np.arange(len(best)), best]
-            out["confidence"] = out["confidence"].astype(float)
-            yield out
-
-    return docs.select("doc_id", "lang", "text").mapInPandas(predict, "doc_id long, lang string, predicted string, confidence double")
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        def predict(texts: list[str | None]) -> list[pa.Array]:
+            has = [i for i, t in enumerate(texts) if t]
+            best, sure = [None] * len(texts), [None] * len(texts)
+            if has and m.classes:
+                p = m.probabilities([texts[i] for i in has])
+                for i, k, row in zip(has, p.argmax(axis=1).tolist(), p):
+                    best[i], sure[i] = m.classes[k], float(row[k])
+            return [pa.array(best, pa.string()), pa.array(sure, pa.float64())]
+
+        return predict
+
+    kept = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")]
+    return appended(docs, kept, [StructField("predicted", StringType()), StructField("confidence", DoubleType())], start)

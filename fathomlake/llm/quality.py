@@ -9,7 +9,7 @@ labelled rows, scores them, and a temperature calibrates its probabilities.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField
 
+from .shared import appended
 from .text import chunks, mix64, tokens
 
 #: Words are hashed into so many slots; so many dimensions; entries of an index vector; reach of the context.
@@ -184,13 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, seed: int
     """Word vectors from all documents; the network from at most ``max_rows`` labelled rows.
 
     Which labels is decided by a hash of ``doc_id``; rows with a null id or label are left out,
-    and only the first of these labels for an id, by value, counts.
+    and only the least of these labels for an id counts. Of documents that share an id,
+    the text of least hash stands for it, so there are no more rows than labels.
     """
     vectors = word_vectors(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("y")).filter("id is not null and y is not null")
     known = known.groupBy("id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows)  # its size is bounded, hence the broadcast
     texts = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    texts = texts.groupBy("id").agg(F.min("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -207,20 +211,27 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, least: flo
 
     ``keep`` is ``p_quality >= least``. Texts that are null, empty or without
     any word or sign have probability 0; repeated rows repeat. Without labels
-    every text has probability 0.5 and stays.
+    every other text has probability 0.5 and stays. An empty table gives no row.
     """
     model = train(docs, labels, max_rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = model.probabilities(b["text"].fillna("").tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "p_quality": p, "keep": p >= least})
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
+        def judge(texts: list[str | None]) -> list[pa.Array]:
+            p = model.probabilities([t or "" for t in texts])
+            return [pa.array(p), pa.array(p >= least)]
+
+        return judge
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, p_quality double, keep boolean")
+    return appended(docs, [F.col("doc_id").cast("long").alias("doc_id")], [StructField("p_quality", DoubleType()), StructField("keep", BooleanType())], start)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, whole and with all columns."""
+    """The rows of ``docs`` that ``score`` keeps, whole and with all columns, whatever their names.
+
+    So null texts and those without a word go, rows with a null id are judged by
+    their text like any other, repeated rows stay or go together, and an empty
+    table stays empty.
+    """
     model = train(docs, labels, max_rows)
     at = docs.columns.index("text")
 

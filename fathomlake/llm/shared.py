@@ -5,8 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,3 +67,22 @@ def free(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def appended(docs: DataFrame, kept: list[Column], fields: list[StructField], start: Callable[[], Callable[[list[str | None]], list[pa.Array]]], text: str = "text") -> DataFrame:
+    """The columns ``kept``, and those that a function computes from each batch's texts.
+
+    ``start`` makes the function, once for each task. What is kept goes through as Arrow columns,
+    so a null beside a large id leaves that id as it is.
+    """
+    rows = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    out = StructType(rows.schema.fields[:-1] + fields)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = start()
+        for b in batches:
+            columns = [*b.columns[:-1], *compute(b.columns[-1].to_pylist())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    return rows.mapInArrow(run, out)

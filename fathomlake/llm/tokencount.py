@@ -9,13 +9,17 @@ the tokens.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
+
+from .shared import appended
 
 #: Splits text before merges, as the rank files were made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -175,15 +179,18 @@ def count_tokens(docs: DataFrame, ranks_path: str = RANKS, pattern: str = PATTER
     ranks = load_ranks(ranks_path)
     sent = docs.sparkSession.sparkContext.broadcast((ranks, Merger(ranks)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list[str | None]], list[pa.Array]]:
         counter = TokenCounter(*sent.value, pattern)
-        for b in batches:
-            text = b["text"]
-            out = pd.array([None] * len(b), dtype="Int64")
-            has = np.flatnonzero(text.notna().to_numpy())
-            for i in range(0, len(has), 500):
-                k = has[i : i + 500]
-                out[k] = counter.counts(text.iloc[k].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": out})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long")
+
+        def count(texts: list[str | None]) -> list[pa.Array]:
+            out: list[int | None] = [None] * len(texts)
+            has = [i for i, t in enumerate(texts) if t is not None]
+            for k in range(0, len(has), 500):
+                part = has[k : k + 500]
+                for i, n in zip(part, counter.counts([texts[i] for i in part])):
+                    out[i] = n
+            return [pa.array(out, pa.int64())]
+
+        return count
+
+    return appended(docs, [F.col("doc_id").cast("long").alias("doc_id")], [StructField("n_tokens", LongType())], start)
