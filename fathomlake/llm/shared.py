@@ -51,9 +51,17 @@ def shared_table(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` computed once and kept as a table in the shared folder, its lineage cut."""
+    path = shared_table(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._fl_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove what ``cut`` wrote. Nothing that reads it may be run any more."""
+    _remove(df.sparkSession, df._fl_path)
 
 
 def free(df: DataFrame, *wanted: str) -> list[str]:

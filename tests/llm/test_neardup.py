@@ -98,6 +98,37 @@ def test_link_connects_what_all_pairs_connect():
         assert groups(nd.link(sigs, 0.6)) == want
 
 
+@pytest.mark.parametrize("block", [2000, 3])
+def test_buckets_link_what_all_pairs_link(spark, monkeypatch, block):
+    """Buckets of like and unlike members, in blocks or whole: the groups are those of all pairs that share a band."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    rng = np.random.default_rng(9)
+    kinds = rng.integers(0, 1 << 16, (6, nd.DARTS))
+    kinds[3:, :40] = kinds[0, :40]  # unlike, in common buckets
+    sigs = kinds[rng.integers(0, 6, 60)]
+    sigs = np.where(rng.random(sigs.shape) < rng.choice([0.05, 0.25, 0.5], (60, 1)), rng.integers(0, 1 << 16, sigs.shape), sigs).astype("<u2")
+    sketches = spark.createDataFrame([(i, i, i, bytearray(s.tobytes())) for i, s in enumerate(sigs)], "doc_id long, body long, node long, sig binary")
+    bands = sigs.reshape(60, nd.BANDS, nd.ROWS)
+    want = groups([(i, j) for i, j in combinations(range(60), 2) if (bands[i] == bands[j]).all(axis=1).any() and (sigs[i] == sigs[j]).mean() >= nd.LEAST])
+    got = [tuple(r) for r in nd._edges(sketches, nd.LEAST).collect()]
+    assert groups(got) == want and len(set(want.values())) > 3
+    assert all((sigs[i] == sigs[j]).mean() >= nd.LEAST for i, j in got)
+
+
+def test_recall_at_the_threshold(make):
+    """Lone pairs of similarity 0.5 to 0.6 are found."""
+    texts, near = {}, []
+    for i in range(300):
+        a = prose(20_000 + i, 150)
+        b = edited(a, 0.125, i)
+        if 0.5 <= similarity(a, b) < 0.6:
+            near.append(i)
+            texts[i], texts[1000 + i] = a, b
+    assert len(near) > 60
+    got = dict(map(tuple, nd.near_copies(make([row(i, t) for i, t in texts.items()])).collect()))
+    assert np.mean([got.get(1000 + i) == i for i in near]) >= 0.93
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(2)
     pairs = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(350)] + [(i, i + 1) for i in range(1000, 1100)]
@@ -110,5 +141,6 @@ def test_components_equal_union_find(spark):
 def test_edge_cases(edge, empty):
     got = rows(nd.near_copies(edge))
     assert got == [(2, 1), (7, 6)]
-    left = nd.drop_near_copies(edge)
-    assert left.count() == edge.count() - 2 and nd.near_copies(empty).count() == 0 and nd.drop_near_copies(empty).count() == 0
+    left = nd.drop_near_copies(edge)  # of id 1 and of no id, a row repeated whole stays once
+    assert left.schema == edge.schema and left.count() == edge.count() - 4 and left.filter("text is null").count() == 3
+    assert nd.near_copies(empty).count() == 0 and nd.drop_near_copies(empty).count() == 0
