@@ -1,11 +1,15 @@
 """Exact deduplication with an extendible-hash index on shared files.
 
-The key of a row is a 64-bit hash of its text. A directory maps the leading
-bits of a key to a bucket: an overfull bucket is split by one more bit, and the
-directory doubles when that bucket used all of its bits. The buckets are
+The key of a row is a 64-bit hash of its text. Keys alone are counted first, and the
+texts of keys that occur once are not moved. A directory maps the leading
+bits of the other keys to a bucket: an overfull bucket is split by one more bit, and the
+directory doubles when that bucket used all of its bits; what is stored of it are its
+buckets, so that it stays as small as their number. The buckets are
 written to the folder that all executors share, a range of keys to a file;
 owner tasks then process a range each. Rows of equal key form a chain in which
-texts are compared byte by byte, so a collision of hashes never makes a copy.
+texts are compared byte by byte, so a collision of hashes never makes a copy. Copies
+that lie in one block of rows are brought together before anything is moved, so
+that a text of very many copies reaches its owner a few times only.
 """
 
 from __future__ import annotations
@@ -25,42 +29,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import free, shared_table
+from .shared import cut, free, shared_table
 
-#: Bytes in a bucket and in an owner's range, about.
-BUCKET_BYTES, OWNER_BYTES = 4 << 20, 24 << 20
-#: Sizes are counted for prefixes of so many bits more at a time; a row counts as its text and so many bytes.
-STEP_BITS, ROW_BYTES = 12, 64
-#: Bits that a bucket may have beyond those of an even directory. What is overfull then (many rows of few keys) overflows.
+#: Bytes in a bucket and in an owner's range, about; a larger index has so many buckets and owners, which are larger then.
+BUCKET_BYTES, OWNER_BYTES, MOST_BUCKETS, MOST_OWNERS = 4 << 20, 24 << 20, 1 << 17, 1 << 14
+#: An entry counts as its text and so many bytes, and so many for each row; rows in a block.
+ENTRY_BYTES, ID_BYTES, BLOCK_ROWS = 64, 8, 100_000
+#: Bits that a bucket may have beyond those of an even directory. What is overfull then holds many entries of few keys.
 SPARE_BITS = 6
+#: Repeated keys of 8 bytes that are broadcast, at most; more are joined by shuffle.
+SENT_KEYS = 1_000_000
 
 
 @dataclass
 class Directory:
-    """The owner of each prefix of ``depth`` bits, and the buckets as (prefix, bits, bytes) in the order of keys."""
+    """The buckets as (prefix, bits, bytes) in the order of keys, and the owner of each; a bucket of fewer than ``depth`` bits stands at several entries."""
 
     depth: int
     owner: list[int]
     buckets: list[tuple[int, int, int]]
 
+    def ranges(self) -> list[tuple[int, int, int]]:
+        """(first prefix of ``depth`` bits, the one behind the last, owner)."""
+        out: list[list[int]] = []
+        for (p, bits, _), o in zip(self.buckets, self.owner):
+            lo, hi = p << (self.depth - bits), (p + 1) << (self.depth - bits)
+            if out and out[-1][2] == o:
+                out[-1][1] = hi
+            else:
+                out.append([lo, hi, o])
+        return [tuple(r) for r in out]
+
 
 def build_directory(sizes: Callable[[int, list[int], int], dict[int, int]], bits: int, bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> Directory:
     """Split buckets until none is overfull, or until it has used up its bits.
 
     ``sizes(depth, within, at)`` gives the bytes by prefix of ``depth`` bits inside
-    the prefixes ``within`` of ``at`` bits.
+    the prefixes ``within`` of ``at`` bits. It is asked for the whole, for the even directory, and for
+    what that leaves overfull.
     """
+    total = sizes(0, [0], 0).get(0, 0)
+    bucket_bytes, owner_bytes = max(bucket_bytes, total // MOST_BUCKETS), max(owner_bytes, total // MOST_OWNERS)
+    even = min(bits, math.ceil(math.log2(max(1, total / bucket_bytes))) + (total > bucket_bytes))
+    most = min(bits, even + SPARE_BITS)
     done: list[tuple[int, int, int]] = []
-    open_, depth, most = [0], 0, bits
-    while open_:
-        step = min(STEP_BITS, most - depth)
+    open_, depth = [0], 0
+    for step in (even, most - even):
         levels: list[dict[int, int]] = [{} for _ in range(step + 1)]
         levels[step] = sizes(depth + step, open_, depth)
         for d in range(step, 0, -1):
             for p, n in levels[d].items():
                 levels[d - 1][p >> 1] = levels[d - 1].get(p >> 1, 0) + n
-        if depth == 0:
-            most = min(bits, max(0, math.ceil(math.log2(max(1, levels[0].get(0, 0)) / bucket_bytes))) + SPARE_BITS)
         waiting, open_ = [(p, 0) for p in open_], []
         while waiting:
             p, d = waiting.pop()
@@ -72,15 +91,17 @@ def build_directory(sizes: Callable[[int, list[int], int], dict[int, int]], bits
             else:
                 waiting += [(2 * p, d + 1), (2 * p + 1, d + 1)]
         depth += step
+        if not open_:
+            break
     top = max(d for _, d, _ in done)
     done.sort(key=lambda b: b[0] << (top - b[1]))
-    table, owner, held = [], 0, 0
-    for p, d, n in done:
+    owners, owner, held = [], 0, 0
+    for _, _, n in done:
         if held and held + n > owner_bytes:
             owner, held = owner + 1, 0
         held += n
-        table += [owner] * (1 << (top - d))
-    return Directory(top, table, done)
+        owners.append(owner)
+    return Directory(top, owners, done)
 
 
 @dataclass
@@ -92,75 +113,79 @@ class Index:
     owner: str
 
 
-def write_index(docs: DataFrame, columns: list[str], key: Callable[[Column], Column] = F.xxhash64, bits: int = 64, bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES) -> Index:
-    """Write ``columns`` of all rows to bucket files, in the order of key and ``doc_id``.
+def _key_of(key: Callable[[Column], Column]) -> Column:
+    return F.when(F.col("text").isNotNull(), key(F.col("text")))
+
 
-    ``key`` makes a long of the text, of which the low ``bits`` bits count. A
-    null text has no copies; it is filed under its ``doc_id``.
+def write_index(
+    docs: DataFrame, held: Callable[[DataFrame], list[Column]], least: str, key: Callable[[Column], Column] = F.xxhash64, bits: int = 64,
+    bucket_bytes: int = BUCKET_BYTES, owner_bytes: int = OWNER_BYTES, block_rows: int = BLOCK_ROWS,
+) -> tuple[Index, DataFrame]:
+    """Write an entry for each text of a repeated key and each block of rows, in the order of key and ``least``; the repeated keys ``(k)``.
+
+    ``held`` are the aggregates that an entry holds besides its text; the column ``least`` among them sorts it, nulls last.
+    ``key`` makes a long of the text, of which the low ``bits`` bits count. Null texts are not indexed.
     """
     spark = docs.sparkSession
-    k, o, p = free(docs, "key", "owner", "prefix")
-    keyed = docs.select(*columns).withColumn(k, F.when(F.col("text").isNull(), F.xxhash64("doc_id") if bits == 64 else F.lit(0).cast("long")).otherwise(key(F.col("text"))))
-    weight = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    k, o, p, block = free(docs, "key", "owner", "prefix", "block")
+    numbered = F.floor(F.monotonically_increasing_id() / F.lit(block_rows))
+    light = cut(docs.select(_key_of(key).alias("k"), F.octet_length("text").cast("long").alias("n"), numbered.alias("block")).filter("k is not null"))
+    repeated = cut(light.groupBy("k").agg(F.count("*").alias("times")).filter("times > 1").select("k"))
+    if repeated.count() <= SENT_KEYS:
+        repeated = F.broadcast(repeated)
+    sized = light.join(repeated, "k").groupBy("k", "block").agg((F.max("n") + F.lit(ENTRY_BYTES) + F.count("*") * ID_BYTES).alias("n"))
 
-    def prefix(depth: int) -> Column:
-        return F.shiftrightunsigned(k, bits - depth) if depth else F.lit(0).cast("long")
+    def prefix(of: str, depth: int) -> Column:
+        return F.shiftrightunsigned(of, bits - depth) if depth else F.lit(0).cast("long")
 
     def sizes(depth: int, within: list[int], at: int) -> dict[int, int]:
-        rows = keyed.filter(prefix(at).isin(within)) if at else keyed
-        return {r.p: r.n for r in rows.groupBy(prefix(depth).alias("p")).agg(F.sum(weight).alias("n")).collect()}
+        rows = sized.filter(prefix("k", at).isin(within)) if at else sized
+        return {r.p: r.n for r in rows.groupBy(prefix("k", depth).alias("p")).agg(F.sum("n").alias("n")).collect()}
 
     directory = build_directory(sizes, bits, bucket_bytes, owner_bytes)
-    n = directory.owner[-1] + 1
-    # Spark broadcasts the directory if it is small enough, and joins by shuffle otherwise.
-    table = spark.createDataFrame(pa.table({p: pa.array(range(len(directory.owner)), pa.int64()), o: pa.array(directory.owner, pa.int32())}))
+    # The owners' ranges, found by the leading bits of a prefix: at most two rows for each owner and one for each head.
+    heads = min(directory.depth, 14)
+    rows = [(h, lo, hi, own) for lo, hi, own in directory.ranges() for h in range(lo >> (directory.depth - heads), ((hi - 1) >> (directory.depth - heads)) + 1)]
+    h, lo, hi = free(docs, "head", "lo", "hi")
+    table = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64() if n != o else pa.int32()) for n, c in zip((h, lo, hi, o), zip(*rows))}))
+    indexed = docs.withColumn(k, _key_of(key)).join(repeated.withColumnRenamed("k", p), F.col(k) == F.col(p), "left_semi").withColumn(block, numbered)
+    entries = indexed.groupBy(k, block, "text").agg(*held(indexed)).withColumn(p, prefix(k, directory.depth))
     path = shared_table(spark, "index")
     (
-        keyed.join(table, prefix(directory.depth) == F.col(p)).drop(p)
-        .repartitionById(n, F.col(o)).sortWithinPartitions(k, F.col("doc_id").asc_nulls_last())
+        entries.join(F.broadcast(table), (F.shiftright(p, directory.depth - heads) == F.col(h)) & (F.col(p) >= F.col(lo)) & (F.col(p) < F.col(hi)))
+        .drop(block, p, h, lo, hi)
+        .repartitionById(directory.owner[-1] + 1, F.col(o)).sortWithinPartitions(k, F.col(least).asc_nulls_last())
         .write.option("compression", "zstd").parquet(path)
     )
     files: dict[int, list[str]] = {}
-    for f in sorted(spark.read.parquet(path).inputFiles()):
+    for f in sorted(spark.read.schema("text string").parquet(path).inputFiles()):
         files.setdefault(int(re.match(r"part-(\d+)", os.path.basename(f))[1]), []).append(f)
-    return Index(files, k, o)
-
+    return Index(files, k, o), repeated
 
-def walk(uris: list[str], owner: int, index: Index, columns: list[str] | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, dict[int, int | None]]]:
-    """An owner's rows by batch: which are first of their text, and what the others are copies of.
 
-    Only rows that share their key with another have their texts looked at.
-    """
-    last, chain, carried = None, [], None
+def walk(uris: list[str], owner: int, index: Index, least: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[bool, int | None]]]]:
+    """An owner's entries by batch: whether each is the first of its text, and the least id of that text."""
+    last, chain = None, []
     for uri in uris:
         system, path = fs.FileSystem.from_uri(uri)
         with system.open_input_file(path) as handle:
-            for b in pq.ParquetFile(handle).iter_batches(batch_size=1024, columns=columns):
+            for b in pq.ParquetFile(handle).iter_batches(batch_size=1024):
                 if not b.num_rows:
                     continue
                 assert set(b.column(index.owner).unique().to_pylist()) == {owner}, "a bucket file holds rows of another owner"
-                keys, texts, ids = b.column(index.key).to_numpy(), b.column("text"), b.column("doc_id")
-                follows = np.append(keys[0] == last, keys[1:] == keys[:-1])
-                near = follows.copy()
-                near[:-1] |= follows[1:]
-                near[-1] = True  # the next batch may go on with this key
-                first, copies = np.ones(b.num_rows, bool), {}
-                for i in np.flatnonzero(near).tolist():
-                    if not follows[i]:
-                        chain = []
-                    elif i == 0 and carried is not None:
-                        chain = carried
-                    if not texts[i].is_valid:
-                        continue
-                    raw = texts[i].as_buffer().to_pybytes()
+                found = []
+                for key, text, own in zip(b.column(index.key).to_pylist(), b.column("text"), b.column(least).to_pylist()):
+                    if key != last:
+                        last, chain = key, []
+                    raw = text.as_buffer().to_pybytes()
                     for other, kept in chain:
                         if raw == other:
-                            first[i], copies[i] = False, kept
+                            found.append((False, kept))
                             break
                     else:
-                        chain.append((raw, ids[i].as_py()))
-                last, carried = keys[-1], chain
-                yield b, first, copies
+                        chain.append((raw, own))
+                        found.append((True, own))
+                yield b, found
 
 
 def _owners(docs: DataFrame, index: Index) -> DataFrame:
@@ -177,32 +202,50 @@ def copies(docs: DataFrame, **index_options) -> DataFrame:
     texts are never copies; empty texts are copies of each other. A table
     without copies, or without rows, gives no row.
     """
-    index = write_index(docs, ["doc_id", "text"], **index_options)
+    ids, least = free(docs, "ids", "least")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"))
+    held = lambda _: [F.transform(F.sort_array(F.collect_list(place)), lambda x: x["id"]).alias(ids), F.min(place)["id"].alias(least)]
+    index, _ = write_index(docs.select("doc_id", "text"), held, least, **index_options)
     schema = StructType([StructField("doc_id", LongType()), StructField("keep_id", LongType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
             for row in own.to_pylist():
-                for b, _, found in walk(row["files"], row["owner"], index, None):
-                    if found:
-                        ids = b.column("doc_id").take(pa.array(list(found))).cast(pa.int64())
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(list(found.values()), pa.int64())], schema=arrow)
+                for b, found in walk(row["files"], row["owner"], index, least):
+                    copy, keep = [], []
+                    for of, (first, kept) in zip(b.column(ids).to_pylist(), found):
+                        copy += of[first:]
+                        keep += [kept] * (len(of) - first)
+                    yield pa.RecordBatch.from_arrays([pa.array(copy, pa.int64()), pa.array(keep, pa.int64())], schema=arrow)
 
     return _owners(docs, index).mapInArrow(run, schema)
 
 
 def drop_copies(docs: DataFrame, **index_options) -> DataFrame:
-    """The rows of ``docs``, whole, without those that ``copies`` would name."""
-    index = write_index(docs, docs.columns, **index_options)
+    """The rows of ``docs``, whole, without those that ``copies`` would name.
+
+    Of each text the row of least ``doc_id`` stays (null orders last; of rows of one id and text the one of least hash).
+    Null texts all stay; an empty table stays empty; other columns may have any names and types.
+    """
+    row, least = free(docs, "row", "least")
+    others = [c for c in docs.columns if c.lower() != "text"]
+    plain = [n for n, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*plain).alias("h"))
+    held = lambda _: [F.min_by(F.struct(*others), order).alias(row), F.min(order)["id"].cast("long").alias(least)]
+    index, repeated = write_index(docs, held, least, **index_options)
+    text = next(c for c in docs.columns if c.lower() == "text")
     arrow = to_arrow_schema(docs.schema)
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
-            for row in own.to_pylist():
-                for b, first, _ in walk(row["files"], row["owner"], index, None):
-                    kept = b.filter(pa.array(first)).select(names)
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept.columns, arrow)], schema=arrow)
-
-    return _owners(docs, index).mapInArrow(run, docs.schema)
+            for r in own.to_pylist():
+                for b, found in walk(r["files"], r["owner"], index, least):
+                    kept = b.filter(pa.array([first for first, _ in found]))
+                    fields = dict(zip(others, kept.column(row).flatten())) | {text: kept.column("text")}
+                    yield pa.RecordBatch.from_arrays([fields[f.name].cast(f.type) for f in arrow], schema=arrow)
+
+    (k,) = free(docs, "k")
+    key = index_options.get("key", F.xxhash64)
+    once = docs.join(repeated.withColumnRenamed("k", k), _key_of(key) == F.col(k), "left_anti")
+    return once.unionByName(_owners(docs, index).mapInArrow(run, docs.schema))

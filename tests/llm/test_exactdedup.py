@@ -25,7 +25,7 @@ def data(n=300):
     return [row(int(rng.integers(0, n)), texts[int(rng.integers(0, len(texts)))]) for _ in range(n)] + [row(1000 + i, "hot") for i in range(200)]
 
 
-SMALL = [{}, {"bucket_bytes": 500, "owner_bytes": 3000}, {"bucket_bytes": 1, "owner_bytes": 1}]
+SMALL = [{}, {"bucket_bytes": 500, "owner_bytes": 3000, "block_rows": 7}, {"bucket_bytes": 1, "owner_bytes": 1, "block_rows": 1}]
 
 
 @pytest.mark.parametrize("options", SMALL)
@@ -34,6 +34,13 @@ def test_copies_equal_brute_force(make, options):
     assert rows(ed.copies(make(table), **options)) == sorted(brute(table))
 
 
+def test_many_repeated_keys_are_joined_by_shuffle(make, monkeypatch):
+    monkeypatch.setattr(ed, "SENT_KEYS", 0)
+    table = data()
+    assert rows(ed.copies(make(table))) == sorted(brute(table))
+    assert ed.drop_copies(make(table)).count() == len(table) - len(brute(table))
+
+
 def test_collisions_are_told_apart_by_bytes(make):
     table = data()
     weak = lambda t: F.pmod(F.length(t), F.lit(4)).cast("long")
@@ -67,11 +74,36 @@ def test_directory_splits_and_doubles():
         return dict(zip(p.tolist(), n.tolist()))
 
     d = ed.build_directory(sizes, 16, 100, 500)
-    assert len(d.owner) == 1 << d.depth and d.owner == sorted(d.owner)
+    assert len(d.owner) == len(d.buckets) and d.owner == sorted(d.owner)
     assert sum(n for *_, n in d.buckets) == 4000
     assert all(n <= 100 or p == 7 >> (16 - bits) for p, bits, n in d.buckets)
     covered = sum(1 << (d.depth - bits) for _, bits, _ in d.buckets)
     assert covered == 1 << d.depth
+    ranges = d.ranges()
+    assert ranges[0][0] == 0 and ranges[-1][1] == 1 << d.depth and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_directory_of_a_hot_text_in_a_huge_table_is_small():
+    """A petabyte with half of it in one text: as many buckets as at most allowed, not two to the depth."""
+    total = 1 << 50
+
+    def sizes(depth, within, at):
+        even = total // 2 >> depth
+        out = {p: even for q in within for p in range(q << (depth - at), (q + 1) << (depth - at))}
+        out[12345 >> (64 - depth) if depth else 0] += total // 2
+        return out
+
+    d = ed.build_directory(sizes, 64)
+    assert len(d.buckets) <= 3 * ed.MOST_BUCKETS and d.owner[-1] < 2 * ed.MOST_OWNERS
+
+
+def test_copies_of_a_block_are_one_entry(make):
+    docs = make([row(i, "hot") for i in range(500)] + [row(1000 + i, prose(i, 9)) for i in range(50)]).coalesce(1)
+    for block_rows, entries in ((100_000, 1), (100, 5)):
+        ids = [F.collect_list("doc_id").alias("ids"), F.min("doc_id").alias("least")]
+        index, _ = ed.write_index(docs.select("doc_id", "text"), lambda _: ids, "least", block_rows=block_rows)
+        files = [f for fs in index.files.values() for f in fs]
+        assert sum(ed.pq.read_table(f.removeprefix("file://")).num_rows for f in files) == entries
 
 
 def test_edge_cases(edge, empty):
