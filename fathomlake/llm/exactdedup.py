@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import cut, free, shared_table
+from .shared import cut, free, sent_if_small, shared_table
 
 #: Bytes in a bucket and in an owner's range, about; a larger index has so many buckets and owners, which are larger then.
 BUCKET_BYTES, OWNER_BYTES, MOST_BUCKETS, MOST_OWNERS = 4 << 20, 24 << 20, 1 << 17, 1 << 14
@@ -37,8 +37,6 @@ BUCKET_BYTES, OWNER_BYTES, MOST_BUCKETS, MOST_OWNERS = 4 << 20, 24 << 20, 1 << 1
 ENTRY_BYTES, ID_BYTES, BLOCK_ROWS = 64, 8, 100_000
 #: Bits that a bucket may have beyond those of an even directory. What is overfull then holds many entries of few keys.
 SPARE_BITS = 6
-#: Repeated keys of 8 bytes that are broadcast, at most; more are joined by shuffle.
-SENT_KEYS = 1_000_000
 
 
 @dataclass
@@ -131,8 +129,7 @@ def write_index(
     numbered = F.floor(F.monotonically_increasing_id() / F.lit(block_rows))
     light = cut(docs.select(_key_of(key).alias("k"), F.octet_length("text").cast("long").alias("n"), numbered.alias("block")).filter("k is not null"))
     repeated = cut(light.groupBy("k").agg(F.count("*").alias("times")).filter("times > 1").select("k"))
-    if repeated.count() <= SENT_KEYS:
-        repeated = F.broadcast(repeated)
+    repeated = sent_if_small(repeated)
     sized = light.join(repeated, "k").groupBy("k", "block").agg((F.max("n") + F.lit(ENTRY_BYTES) + F.count("*") * ID_BYTES).alias("n"))
 
     def prefix(of: str, depth: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, forget, free
+from .shared import cut, forget, free, sent_if_small
 from .text import chunks, mix64, shingles, tokens
 
 #: Coordinates of a signature; rows of a band; words of a shingle; similarity that makes a pair.
@@ -142,16 +142,16 @@ def _edges(sketches: DataFrame, least: float) -> DataFrame:
     """``(a, b)`` links between signature nodes, verified, from every bucket with two nodes or more.
 
     Buckets with the same members, as like documents share many, are looked at once: they are known
-    by number, least member and two checksums, so that no bucket is gathered for it.
+    by number, least member and a checksum (nodes are hashes), so that no bucket is gathered for it.
     """
     nodes = cut(sketches.groupBy("node").agg(F.first("sig").alias("sig")))
     keys = F.array(*[F.xxhash64(F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS), F.lit(i)) for i in range(BANDS)])
     slots = nodes.select("node", F.explode(keys).alias("band"))
-    sums = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]
-    buckets = slots.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"), *sums).filter("n > 1")
-    buckets = cut(buckets.groupBy("n", "lo", "x0", "x1").agg(F.min("band").alias("band")).select("band", "n", "lo"))
-    members = cut(slots.join(buckets, "band").select("band", "n", "lo", "node"))
-    pairs = members.filter("node <> lo").select("lo", "node").distinct()
+    buckets = slots.groupBy("band").agg(F.min("node").alias("lo"), F.bit_xor("node").alias("sum"), F.count("*").alias("n")).filter("n > 1")
+    buckets = cut(buckets.groupBy("n", "lo", "sum").agg(F.min("band").alias("band")).select("band", "n", "lo"))
+    members = cut(slots.join(sent_if_small(buckets), "band").select("band", "n", "lo", "node"))
+    pairs = cut(members.filter("node <> lo").select("lo", "node").distinct())
+    nodes = cut(nodes.join(sent_if_small(cut(members.select("node").distinct())), "node", "left_semi"))
     pairs = pairs.join(nodes.withColumnRenamed("sig", "sig_b"), "node").join(nodes.select(F.col("node").alias("lo"), F.col("sig").alias("sig_a")), "lo")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -64,6 +64,15 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df._fl_path)
 
 
+#: Rows of a few longs that are broadcast, at most (about 100 MB in memory).
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A kept table of a few longs a row, to be broadcast if it has at most ``SENT_ROWS`` rows, and else joined as Spark chooses."""
+    return F.broadcast(df) if df.count() <= SENT_ROWS else df
+
+
 def free(df: DataFrame, *wanted: str) -> list[str]:
     """Names like those wanted that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomlake.llm import exactdedup as ed
+from fathomlake.llm import shared
 
 from .conftest import prose, row, rows
 
@@ -35,7 +36,7 @@ def test_copies_equal_brute_force(make, options):
 
 
 def test_many_repeated_keys_are_joined_by_shuffle(make, monkeypatch):
-    monkeypatch.setattr(ed, "SENT_KEYS", 0)
+    monkeypatch.setattr(shared, "SENT_ROWS", -1)
     table = data()
     assert rows(ed.copies(make(table))) == sorted(brute(table))
     assert ed.drop_copies(make(table)).count() == len(table) - len(brute(table))
