@@ -16,10 +16,10 @@ from math import ceil, gcd
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, free
+from .shared import cut, free, numbered
 
 #: Documents in a block, documents in a shard, rows in a bucket that one task orders.
 BLOCK, SHARD_DOCS, BUCKET_ROWS = 16, 1024, 100_000
@@ -98,11 +98,17 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sha
     """``(doc_id, source, shard, position, block)`` of the documents drawn.
 
     A null source is a source, named None in ``weights``; a null id is an id;
-    rows of equal id and source are drawn one by one. Sources give exactly their
+    rows of equal id and source are drawn one by one. There is a row on the driver for each source. Sources give exactly their
     ``targets``; with ``share`` their quotas, from which only the last block of a source,
     which may be short, deviates. An empty table, or weights of 0, draw nothing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source").withColumn("h", F.xxhash64(F.lit(seed), "doc_id"))
+    dealt = _dealt(docs, weights, share, block, shard_docs, seed)
+    return dealt.drop("copy")
+
+
+def _dealt(docs: DataFrame, weights: Mapping[str | None, float] | None = None, share: float | None = None, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
+    """``plan``, with the number of each row among those of its id and source."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source")
     sizes = {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
     drawn = quotas(sizes, weights, share, block)
     docs_of = targets(sizes, weights) if share is None else {s: n * block for s, n in drawn.items()}
@@ -135,6 +141,7 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sha
         facts.append((s, i, max(1, ceil(sizes[s] / BUCKET_ROWS)), blocks, step, shift, docs_of[s]))
     kinds = [("s", pa.string()), ("sid", pa.int32()), *((c, pa.int64()) for c in ("buckets", "blocks", "step", "shift", "quota"))]
     about = spark.createDataFrame(pa.table({c: pa.array([f[i] for f in facts], kind) for i, (c, kind) in enumerate(kinds)}))
+    rows = numbered(rows, ["doc_id", "source"], "copy").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "copy"))
     known = rows.join(about, F.col("source").eqNullSafe(F.col("s"))).filter("quota > 0")
     known = known.withColumn("bucket", F.least(F.floor((F.col("h") / F.lit(float(1 << 64)) + 0.5) * F.col("buckets")), F.col("buckets") - 1))
     counts = known.groupBy("sid", "bucket").agg(F.count("*").alias("n"))
@@ -143,27 +150,30 @@ def plan(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sha
     ranked = known.withColumn("r", F.row_number().over(order)).join(before, ["sid", "bucket"])
     at = F.col("base") + F.col("r") - 1
     ranked = ranked.withColumn("block", F.floor(at / F.lit(block))).withColumn("slot", at % block).withColumn("place", F.pmod(F.col("block") * F.col("step") + F.col("shift"), F.col("blocks")))
-    dealt = ranked.filter(F.col("place") * block + F.col("slot") < F.col("quota")).select("doc_id", "source", "sid", "h", "block", "place").join(deal, ["sid", "place"])
+    dealt = ranked.filter(F.col("place") * block + F.col("slot") < F.col("quota")).select("doc_id", "source", "copy", "sid", "h", "block", "place").join(deal, ["sid", "place"])
     local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 1), "shard", "h"), F.col("doc_id").asc_nulls_last(), "sid")
-    return dealt.select("doc_id", "source", "shard", (F.row_number().over(local) - 1).cast("long").alias("position"), "block")
+    return dealt.select("doc_id", "source", "copy", "shard", (F.row_number().over(local) - 1).cast("long").alias("position"), "block")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``plan`` draws, whole, each shard's together and in its order."""
-    i, s, at, shard, place, k = free(docs, "id", "source", "at", "shard", "place", "k")
-    drawn = cut(plan(docs, **options).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.struct("shard", "position").alias(at)))
-    drawn = drawn.groupBy(i, s).agg(F.sort_array(F.collect_list(at)).alias(at))
+    """The rows of ``docs`` that ``plan`` draws, whole, each shard's together and in its order.
+
+    Rows of one id and source, such as those without an id, are drawn in the order of the table and of their
+    texts' hashes. Null texts are documents like any other; an empty table stays empty; other columns may have any names.
+    """
+    i, s, c, shard, place, block, before = free(docs, "id", "source", "copy", "shard", "place", "block", "before")
+    drawn = cut(_dealt(docs, **options).select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("copy").alias(c), F.col("shard").alias(shard), F.col("position").alias(place)))
     same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s))
-    out = docs.join(drawn, same)
-    if _repeats(docs):  # rows of one id and source take their draws in the order of their texts
-        out = out.withColumn(k, F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.xxhash64("text"))))
-        out = out.filter(F.col(k) <= F.size(at))
-        draw: Column = F.element_at(at, F.col(k))
+    if drawn.filter(F.col(c) > 0).take(1) or docs.groupBy("doc_id", "source").count().filter("count > 1").take(1):
+        # The rows of repeated ids are numbered block by block of the table, so that no task holds all of one id.
+        repeated = docs.groupBy(F.col("doc_id").alias(i), F.col("source").alias(s)).count().filter("count > 1").drop("count")
+        often = cut(docs.join(repeated, same, "left_semi").withColumn(block, F.floor(F.monotonically_increasing_id() / F.lit(float(BUCKET_ROWS)))))
+        counts = often.groupBy("doc_id", "source", block).count()
+        counts = counts.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col(block).alias(f"{block}2"), (F.sum("count").over(Window.partitionBy("doc_id", "source").orderBy(block)) - F.col("count")).alias(before))
+        often = often.withColumn(c, F.row_number().over(Window.partitionBy("doc_id", "source", block).orderBy(F.xxhash64("text"))) - 1)
+        often = often.join(counts, same & (F.col(block) == F.col(f"{block}2"))).withColumn(c, F.col(c) + F.col(before)).select(*docs.columns, c)
+        numbers = docs.join(repeated, same, "left_anti").withColumn(c, F.lit(0).cast("long")).unionByName(often)
     else:
-        draw = F.element_at(at, 1)
-    out = out.withColumn(shard, draw["shard"]).withColumn(place, draw["position"])
+        numbers = docs.withColumn(c, F.lit(0).cast("long"))
+    out = numbers.withColumnRenamed(c, f"{c}2").join(drawn, same & (F.col(f"{c}2") == F.col(c)))
     return out.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*docs.columns)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id", "source").count().filter("count > 1").take(1))

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from .shared import numbered
+
 #: Bytes in a window; lengths are rounded up to one of so many steps; rows in a shard.
 WINDOW, STEPS, SHARD_ROWS = 8192, 128, 50_000
 
@@ -120,13 +122,15 @@ SCHEMA = StructType([StructField(n, LongType()) for n in ("doc_id", "piece", "st
 def pack(docs: DataFrame, window: int = WINDOW, steps: int = STEPS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(doc_id, piece, start, length, pack_id, offset)``: which bytes of a text lie where in which window.
 
-    A text longer than a window is cut into pieces, all of them packed. Null and
+    A text longer than a window is cut into pieces, all of them packed; as lengths are bytes, a cut may
+    lie inside a character, whose bytes then follow in the next piece. Null and
     empty texts have one piece of length 0 with a null ``pack_id``. Repeated rows
-    and null ids are packed like any other row.
+    and null ids are packed like any other row; rows of equal id and length are interchangeable.
+    An empty table gives no row.
     """
     n_shards = max(1, ceil(docs.count() / shard_rows))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
-    rows = rows.select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n"), F.lit(n_shards)).cast("int").alias("shard"))
+    rows = numbered(rows, ["doc_id", "n"], "copy").select("doc_id", "n", F.pmod(F.xxhash64("doc_id", "n", "copy"), F.lit(n_shards)).cast("int").alias("shard"))
     arrow = to_arrow_schema(SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-#: Bytes of a shard; shards' worth of bytes in a partition; unfilled shards that one task packs again; what counts as filled.
-CAPACITY, SHARDS_A_TASK, AGAIN_A_TASK, FILLED = 64 << 20, 16, 100_000, 0.98
+#: Bytes of a shard; shards' worth of bytes, and groups, in a partition; unfilled shards that one task packs again; what counts as filled.
+CAPACITY, SHARDS_A_TASK, GROUPS_A_TASK, AGAIN_A_TASK, FILLED = 64 << 20, 16, 500_000, 100_000, 0.98
 
 
 class Room:
@@ -126,14 +126,16 @@ def shard(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Rows of equal text are one group; ``group_id`` is a hash of the text (two
     texts of equal hash would just stay together). A null text has 0 bytes and is
-    a group with the rows of the same id and null text. A group larger than a
-    shard has an oversized one to itself. Shard numbers are not consecutive.
+    a group with the rows of the same id and null text. A document takes one byte of a shard at least,
+    so that empty ones fill shards too. A group larger than a
+    shard has an oversized one to itself. Of groups of equal size the one of least ``group_id`` is placed first.
+    Shard numbers are not consecutive. An empty table gives no row.
     """
     group = F.when(F.col("text").isNull(), F.xxhash64("doc_id", F.lit("null"))).otherwise(F.xxhash64("text")).alias("group_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), group, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    groups = cut(rows.groupBy("group_id").agg(F.sum("n_bytes").alias("size")).withColumnRenamed("group_id", "item"))
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    first = cut(_packed(groups, max(1, ceil(total / (SHARDS_A_TASK * capacity))), capacity))
+    groups = cut(rows.groupBy("group_id").agg(F.sum(F.greatest("n_bytes", F.lit(1))).alias("size")).withColumnRenamed("group_id", "item"))
+    total, n = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    first = cut(_packed(groups, max(1, ceil(total / (SHARDS_A_TASK * capacity)), ceil(n / GROUPS_A_TASK)), capacity))
     bin_id = (F.shiftleft(F.col("part").cast("long"), 32) + F.col("bin")).alias("item")
     bins = first.select(bin_id, "size").groupBy("item").agg(F.sum("size").alias("size"))
     unfilled = bins.filter(F.col("size") < int(FILLED * capacity))

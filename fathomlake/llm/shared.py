@@ -103,3 +103,18 @@ def appended(docs: DataFrame, kept: list[Column], fields: list[StructField], sta
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return rows.mapInArrow(run, out)
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str, block: int = 100_000) -> DataFrame:
+    """The values of ``keys``, each as often as it occurs, numbered from 0 in ``name``.
+
+    Only the distinct values are moved, with their counts, so that a value of very many rows, such as a
+    null id, is one row on the way. What occurs more than ``block`` times is spelled out by several tasks.
+    Rows of equal values are alike here, so the result doesn't depend on their order.
+    """
+    times, b = free(rows, "times", "b")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias(times))
+    few = counted.filter(F.col(times) <= block).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)).alias(name))
+    many = counted.filter(F.col(times) > block).select(*keys, times, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / block))).alias(b))
+    many = many.repartition(*keys, b).select(*keys, F.explode(F.sequence(F.col(b) * block, F.least(F.col(times), (F.col(b) + 1) * block) - 1)).alias(name))
+    return few.unionByName(many)

@@ -110,3 +110,17 @@ def test_edge_cases(edge, empty, make):
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
     assert mixing.plan(edge, weights={}).count() == 0
     assert {r.source for r in mixing.plan(edge, weights={None: 1.0}, share=0.1, block=1).collect()} == {None}
+
+
+def test_many_rows_of_one_id(make, monkeypatch):
+    """Rows without ids, and repeated ones, are drawn one by one, in blocks, and none twice."""
+    from fathomlake.llm import shared
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    docs = make([row(None, f"t{i}", "en", "hot") for i in range(400)] + [row(7, "same", "en", "a")] * 120)
+    plan = mixing.plan(docs, weights={"hot": 1, "a": 1}, block=4, shard_docs=40).toPandas()
+    assert Counter(plan.source) == {"hot": 120, "a": 120} and plan.groupby("shard").size().max() <= 40
+    out = mixing.mix(docs, weights={"hot": 1, "a": 1}, block=4, shard_docs=40).toPandas()
+    assert Counter(out.source) == {"hot": 120, "a": 120} and out[out.source == "hot"].text.is_unique
+    got = rows(shared.numbered(docs, ["doc_id", "source"], "copy", block=50))
+    assert [g[2] for g in got if g[0] is None] == list(range(400)) and [g[2] for g in got if g[0] == 7] == list(range(120))

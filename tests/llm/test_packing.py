@@ -59,3 +59,39 @@ def test_every_byte_is_in_one_place(make, edge):
 
 def test_empty_table(empty):
     assert packing.pack(empty).count() == 0
+
+
+def test_rows_without_ids_are_spread_over_tasks(make, monkeypatch):
+    docs = make([row(None, "x" * 20)] * 3000)
+    got = packing.pack(docs, shard_rows=500).toPandas()
+    per_task = got.groupby(got.pack_id // (1 << 32)).size()
+    assert len(got) == 3000 and len(per_task) == 6 and per_task.max() < 700
+
+
+def test_against_the_least_number_of_windows():
+    """On small inputs: never more than one window above the optimum, found by trying all."""
+    rng = np.random.default_rng(2)
+
+    def least(sizes, window):
+        best = [len(sizes)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(sizes):
+                best[0] = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] >= sizes[i]:
+                    bins[k] -= sizes[i]
+                    go(i + 1, bins)
+                    bins[k] += sizes[i]
+            go(i + 1, [*bins, window - sizes[i]])
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(25):
+        n = np.sort(rng.integers(1, 20, 9))[::-1]
+        at = packing.pack_lengths(n.astype(np.int64), window=20, steps=20)
+        assert least(n.tolist(), 20) <= at.max() + 1 <= least(n.tolist(), 20) + 1

@@ -60,3 +60,9 @@ def test_edge_cases(edge, empty):
     got = got.toPandas()
     assert got.shard.nunique() == 1 and got.n_bytes.sum() == sum(len((r.text or "").encode()) for r in edge.collect())
     assert sharding.shard(empty).count() == 0
+
+
+def test_empty_documents_fill_shards_and_tasks(make, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_A_TASK", 100)
+    got = sharding.shard(make([row(i, None) for i in range(1000)]), capacity=300).toPandas()
+    assert len(got) == 1000 and got.groupby("shard").size().max() <= 300 and got.shard.nunique() <= 5
