@@ -83,7 +83,7 @@ def secrets(text: str, begin: int, end: int, ratio: Callable[[str], float], leas
         return limit > 0 and not known(i, j) and ratio(text[i:j]) < limit
 
     end = begin + len(text[begin:end].rstrip(_EDGE))
-    if text[begin:end].lower() in skip:
+    if _WORD.fullmatch(text, begin, end) and end - begin < LEAST_WORD or text[begin:end].lower() in skip:
         return
     taken = [m.span() for m in _INTEGRITY.finditer(text, begin, end) if not _CREDENTIAL.search(text[max(0, m.start() - 48) : m.start()])]
     taken += [m.span() for m in _EMAIL.finditer(text, begin, end)]
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, ranks_path: str = RANKS, least_ratio: float = 2.2, kno
         for b in batches:
             at, rows = [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                for m in find(text):
+                for m in find(text):  # a word that is too short to tell, by far the most frequent run, costs one match
                     for i, j in sorted(secrets(text, *m.span(), lambda s: len(s) / len(enc.encode_ordinary(s)), least_ratio, skip)):
                         n = len(enc.encode_ordinary(text[i:j]))
                         at.append(row)
