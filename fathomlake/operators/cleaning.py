@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, FloatType, IntegralType, NumericType, StringType
 
 from ..functions import keys as k
+from .names import free
 from .ordering import numbered
 
 #: Characters of a text that are kept.
@@ -172,14 +173,16 @@ def valid_rows(df: DataFrame, keys: Sequence[str], mandatory: Sequence[str] = ()
 
 def first_of_equal(df: DataFrame, columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row, in ``order``, of each combination of values (null equals null)."""
+    (place,) = free(df, wanted="_place")
     w = Window.partitionBy(*[_q(c) for c in columns]).orderBy(*order)
-    return df.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place)
 
 
 def without_repeated(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows whose combination of values occurs once only."""
+    (times,) = free(df, wanted="_times")
     w = Window.partitionBy(*[_q(c) for c in columns])
-    return df.withColumn("_times", F.count("*").over(w)).filter("_times = 1").drop("_times")
+    return df.withColumn(times, F.count("*").over(w)).filter(F.col(times) == 1).drop(times)
 
 
 _IDS = ("system_record_id", "entity_system_record_id", "sort_id", "eval_set_index")
@@ -201,12 +204,14 @@ def drop_full_duplicates(df: DataFrame, row_id: str, target: str | None = "targe
     values = [c for c in columns if c != target]
     if segment is None:
         return without_repeated(out, values)
-    labelled = F.max(_q(target).isNotNull()).over(Window.partitionBy(_q(segment)))
-    out = out.withColumn("_labelled", (_q(segment) == 0) | labelled)
+    labelled, times, seg = free(out, wanted="_labelled _times _segment")
+    # A row for each segment, of which there are few.
+    with_target = out.groupBy(_q(segment).alias(seg)).agg(F.max(_q(target).isNotNull()).alias(labelled))
+    out = out.join(F.broadcast(with_target), _q(segment).eqNullSafe(F.col(seg))).drop(seg).withColumn(labelled, (_q(segment) == 0) | F.col(labelled))
     w = Window.partitionBy(*[_q(c) for c in values])
-    out = out.withColumn("_times", F.sum(F.col("_labelled").cast("int")).over(w))
-    out = out.filter(~F.col("_labelled") | (F.col("_times") == 1)).drop("_times")
-    return first_of_equal(out, values, [F.col("_labelled").desc(), *order]).drop("_labelled")
+    out = out.withColumn(times, F.sum(F.col(labelled).cast("int")).over(w))
+    out = out.filter(~F.col(labelled) | (F.col(times) == 1)).drop(times)
+    return first_of_equal(out, values, [F.col(labelled).desc(), *order]).drop(labelled)
 
 
 def drop_contradictions(df: DataFrame, persons: Sequence[str], date: str, target: str, segment: str | None = None, days: int = 60) -> DataFrame:
@@ -232,10 +237,21 @@ def drop_contradictions(df: DataFrame, persons: Sequence[str], date: str, target
 
 
 def record_ids(df: DataFrame, keys: Sequence[str], date: str | None = None, segment: str | None = None, row_id: str = "row_id", name: str = "system_record_id") -> DataFrame:
-    """Numbers by (segment, date, hash of the keys): the training segment first. The rows' order does not matter."""
+    """Numbers by (segment, date, hash of the keys): the training segment first. The rows' order does not matter.
+
+    Segments, of which there are few, are numbered one after the other, so that ranges are of dates or hashes.
+    """
     columns = [_q(c) for c in keys if c != date]
-    order = [*([_q(segment)] if segment else []), *([_q(date)] if date else []), *([F.xxhash64(*columns)] if columns else []), _q(row_id)]
-    return numbered(df, order, name)
+    order = [*([_q(date)] if date else []), *([F.xxhash64(*columns)] if columns else []), _q(row_id)]
+    if segment is None:
+        return numbered(df, order, name)
+    sizes = df.groupBy(_q(segment).alias("s")).agg(F.count("*").alias("n")).orderBy("s").collect()
+    out, start = None, 0
+    for s in sizes:
+        part = numbered(df.filter(_q(segment).eqNullSafe(F.lit(s.s))), order, name)
+        part = part.withColumn(name, F.col(name) + start)
+        out, start = part if out is None else out.unionByName(part), start + s.n
+    return numbered(df, order, name) if out is None else out
 
 
 def hash_ids(df: DataFrame, columns: Sequence[str], name: str = "entity_system_record_id") -> DataFrame:

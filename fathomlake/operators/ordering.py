@@ -7,44 +7,62 @@ ranges are few and are summed in order; within a range a window does the rest.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task orders, about.
-RANGE_ROWS = 1_000_000
+from .names import free
+
+#: Rows that one task orders, about; ranges at most, which are longer then.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
+
+
+def _reached(key: Column, cuts: Sequence[object]) -> Column:
+    """How many of the rising cuts a key is above: looked up among every 64th, then among the 64 before the next."""
+    if len(cuts) <= 16:
+        return reduce(lambda a, b: a + b, [F.when(key > F.lit(c), 1).otherwise(0) for c in cuts], F.lit(0))
+    above = lambda array: F.coalesce(F.size(F.filter(array, lambda c: c < key)), F.lit(0))
+    blocks = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    block = above(F.array(*[F.lit(b[0]) for b in blocks])) - 1
+    within = F.element_at(F.array(*[F.array(*map(F.lit, b)) for b in blocks]), F.greatest(block, F.lit(0)) + 1)
+    return F.when(key.isNull() | (block < 0), 0).otherwise(block * 64 + above(within))
 
 
 def ranged(df: DataFrame, key: Column, name: str, rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with the number of each row's range; keys of a lower range are less. Null keys come first."""
-    n = max(1, -(-df.count() // rows))
-    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
-    reached = [F.when(key > F.lit(c), 1).otherwise(0) for c in dict.fromkeys(cuts or [])]
-    return df.withColumn(name, reduce(lambda a, b: a + b, reached, F.lit(0)))
+    n = min(MOST_RANGES, max(1, -(-df.count() // rows)))
+    cuts = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10 * MOST_RANGES)).first()[0] if n > 1 else []
+    return df.withColumn(name, _reached(key, list(dict.fromkeys(cuts or []))))
+
+
+def cumulated(df: DataFrame, order: Sequence[Column], values: Mapping[str, Column], rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with sums, by name, of values over all rows before each in ``order``.
+
+    The order must tell all rows apart, or equal rows be alike; its first column, a number or a time, rising, makes the ranges.
+    """
+    r, *helpers = free(df, wanted="_range " + " ".join(f"_t{i} _l{i}" for i in range(len(values))))
+    totals, locals_ = helpers[::2], helpers[1::2]
+    parts = ranged(df, order[0], r, rows)
+    sums = parts.groupBy(r).agg(*[F.sum(v).alias(t) for v, t in zip(values.values(), totals)])
+    earlier = Window.orderBy(r).rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    starts = sums.select(r, *[F.coalesce(F.sum(t).over(earlier), F.lit(0)).alias(t) for t in totals])
+    local = Window.partitionBy(r).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({c: F.coalesce(F.sum(v).over(local), F.lit(0)) for v, c in zip(values.values(), locals_)})
+    joined = parts.join(F.broadcast(starts), r)
+    return joined.select(*df.columns, *[(F.col(t) + F.col(c)).alias(n) for n, t, c in zip(values, totals, locals_)])
 
 
 def sums_before(df: DataFrame, key: str, values: Sequence[str], rows: int = RANGE_ROWS) -> DataFrame:
     """``df``, one row for a key, with ``<value>_before``: the sum over all lesser keys."""
-    parts = ranged(df, F.col(key), "_range", rows)
-    totals = parts.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", *[F.coalesce(F.sum(f"_t_{v}").over(earlier), F.lit(0)).alias(f"_s_{v}") for v in values])
-    local = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumns({f"_l_{v}": F.coalesce(F.sum(v).over(local), F.lit(0)) for v in values})
-    joined = parts.join(F.broadcast(starts), "_range")  # a row for each million
-    return joined.select(*df.columns, *[(F.col(f"_s_{v}") + F.col(f"_l_{v}")).alias(f"{v}_before") for v in values])
+    return cumulated(df, [F.col(key)], {f"{v}_before": F.col(v) for v in values}, rows)
 
 
 def numbered(df: DataFrame, order: Sequence[Column], name: str, rows: int = RANGE_ROWS) -> DataFrame:
-    """Consecutive numbers from 0 in ``order``; the first ordering column, ascending, makes the ranges."""
-    parts = ranged(df, order[0], "_range", rows)
-    sizes = parts.groupBy("_range").agg(F.count("*").alias("_n"))
-    starts = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    out = parts.withColumn("_place", place).join(F.broadcast(starts), "_range")
-    return out.withColumn(name, (F.col("_start") + F.col("_place") - 1).cast("long")).select(*df.columns, name)
+    """Consecutive numbers from 0 in ``order``; the first ordering column, rising, makes the ranges."""
+    out = cumulated(df, order, {name: F.lit(1)}, rows)
+    return out.withColumn(name, F.col(name).cast("long"))
 
 
 def average_ranks(df: DataFrame, column: str, rank: str, rows: int = RANGE_ROWS) -> DataFrame:

@@ -7,11 +7,17 @@ depend on partitions and needs no collected state.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import free
+from .ordering import cumulated
+
 SEED = 42
+#: Rows of a class that one task orders, about.
+SLICE_ROWS = 1_000_000
 
 
 def draw(row_id: str, seed: int = SEED) -> Column:
@@ -26,11 +32,23 @@ def sample(df: DataFrame, n: int, row_id: str, seed: int = SEED) -> DataFrame:
 
 def capped(df: DataFrame, target: str, caps: Mapping[object, int], row_id: str, seed: int = SEED) -> DataFrame:
     """At most ``caps[class]`` rows of each class; classes that are not named keep all."""
+    if not caps:
+        return df
     cap: Column = F.lit(None).cast("long")
     for value, most in caps.items():
         cap = F.when(F.col(target) == F.lit(value), F.lit(int(most))).otherwise(cap)
-    place = F.row_number().over(Window.partitionBy(target).orderBy(draw(row_id, seed), row_id))
-    limited = df.filter(F.col(target).isin(list(caps))).withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
+    some = df.filter(F.col(target).isin(list(caps)))
+    # The draw is even, so equal slices of it have about equally many rows: a class is ordered slice by slice.
+    part, place, n, first, c = free(df, wanted="_part _place _n _first _class")
+    slices: Column = F.lit(1)
+    for value, count in class_counts(some, target):
+        slices = F.when(F.col(target) == F.lit(value), F.lit(-(-count // SLICE_ROWS))).otherwise(slices)
+    some = some.withColumn(part, F.floor((draw(row_id, seed) / F.lit(float(1 << 64)) + 0.5) * slices))
+    sizes = some.groupBy(F.col(target).alias(c), part).agg(F.count("*").alias(n))
+    sizes = sizes.withColumn(first, F.sum(n).over(Window.partitionBy(c).orderBy(part)) - F.col(n))
+    local = F.row_number().over(Window.partitionBy(target, part).orderBy(draw(row_id, seed), row_id))
+    some = some.withColumn(place, local).join(sizes.withColumnRenamed(part, f"{part}2"), (F.col(target) == F.col(c)) & (F.col(part) == F.col(f"{part}2")))
+    limited = some.filter(F.col(first) + F.col(place) <= cap).select(*df.columns)
     return limited.unionByName(df.filter(~F.coalesce(F.col(target).isin(list(caps)), F.lit(False))))
 
 
@@ -44,10 +62,13 @@ def balance(df: DataFrame, target: str, task: str, row_id: str, seed: int = SEED
     """Frequent classes cut to a multiple of the rarest.
 
     Binary, from ``binary_rows`` rows on: five times the minority, filled up to
-    those rows. Multiclass: classes below 0.01 %, but for the two largest, go first.
+    those rows. Multiclass: classes below 0.01 %, but for the two largest, go first. With fewer than two classes,
+    as in an empty table, nothing changes.
     """
     counts = class_counts(df, target)
     n = sum(c for _, c in counts)
+    if len(counts) < 2:
+        return df
     if task == "MULTICLASS":
         rare = [v for v, c in counts[2:] if c / n < 0.0001]
         if rare:
@@ -70,9 +91,11 @@ def strategy_caps(counts: Sequence[tuple[object, int]], strategy: object = "auto
 
     A name (auto, majority, not minority, not majority, all), a mapping of
     classes to counts, a list of classes to cut to the rarest's count, or, for
-    two classes, the ratio of minority to majority.
+    two classes, the ratio of minority to majority. Without classes there are no caps.
     """
     sizes = dict(counts)
+    if not sizes:
+        return {}
     least, most = min(sizes.values()), max(sizes.values())
     minority = min(sizes, key=lambda v: sizes[v])
     majority = max(sizes, key=lambda v: sizes[v])
@@ -115,23 +138,31 @@ def time_unit(df: DataFrame, ids: Sequence[str], date: str) -> int | None:
 
 def recent(df: DataFrame, ids: Sequence[str], date: str, length: str) -> DataFrame:
     """The rows of each id that are less than ``length`` (an interval such as ``2 years 6 months``) before its last."""
-    last = F.max(F.col(date).cast("timestamp")).over(Window.partitionBy(*(ids or [F.lit(0)])))
-    return df.withColumn("_last", last).filter(F.col(date).cast("timestamp") > F.col("_last") - F.expr(f"interval {length}")).drop("_last")
+    (last,) = free(df, wanted="_last")
+    ends = df.groupBy(*ids).agg(F.max(F.col(date).cast("timestamp")).alias(last))
+    if ids:
+        keys = {c: f"{last}_{c}" for c in ids}
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()])
+        joined = df.join(ends.withColumnsRenamed(keys), same)
+    else:
+        joined = df.crossJoin(F.broadcast(ends))  # one row
+    return joined.filter(F.col(date).cast("timestamp") > F.col(last) - F.expr(f"interval {length}")).select(*df.columns)
 
 
 def sample_series(df: DataFrame, ids: Sequence[str], date: str, n: int, seed: int = SEED, least_ids: float = 0.2, recent_first: bool = True) -> DataFrame:
     """Whole series of some ids with at most ``n`` rows together, recent ones first; if these are too few ids, the last dates of some ids."""
     ids = list(ids) or [date]
     per = df.groupBy(*ids).agg(F.max(date).alias("_last"), F.count("*").alias("_n"), F.count_distinct(date).alias("_dates"))
-    order = [*([F.desc("_last")] if recent_first else []), F.desc("_n"), F.xxhash64(*ids, F.lit(seed)), *ids]
-    per = per.withColumn("_sum", F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    newest = -F.unix_micros(F.col("_last").cast("timestamp"))
+    order = [*([newest] if recent_first else []), -F.col("_n"), F.xxhash64(*ids, F.lit(seed)), *map(F.col, ids)]
+    per = cumulated(per, order, {"_sum": F.col("_n")}).withColumn("_sum", F.col("_sum") + F.col("_n"))
     s = per.agg(F.count("*").alias("ids"), F.count(F.when(F.col("_sum") <= n, 1)).alias("fit")).first()
     least = max(int(s.ids * least_ids), 1)
     if s.fit >= least:
         return df.join(per.filter(F.col("_sum") <= n).select(*ids), ids, "left_semi")
     some = df.join(per.orderBy(F.desc("_dates"), *ids).limit(least if s.fit else s.ids).select(*ids), ids, "left_semi")
     dates = some.groupBy(date).agg(F.count("*").alias("_n"))
-    dates = dates.withColumn("_sum", F.sum("_n").over(Window.orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, 0)))
+    dates = cumulated(dates, [-F.unix_micros(F.col(date).cast("timestamp"))], {"_sum": F.col("_n")}).withColumn("_sum", F.col("_sum") + F.col("_n"))
     return some.join(dates.filter(F.col("_sum") <= n).select(date), date, "left_semi")
 
 
