@@ -297,14 +297,15 @@ def _dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("dedup_contradictions", """
-    WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_totalprice > 300000 THEN 1 ELSE 0 END AS target FROM orders WHERE o_custkey % 10 <> 0),
-    s AS (SELECT *, lag(target) OVER w AS before, epoch_ms(o_orderdate) - lag(epoch_ms(o_orderdate)) OVER w AS gap FROM r WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, target)),
-    p AS (SELECT o_custkey, count(DISTINCT o_orderdate) AS dates, count(DISTINCT target) AS targets, bool_or(target IS DISTINCT FROM before AND gap < 5184000000) AS bad FROM s GROUP BY 1)
-    SELECT o_orderkey, o_custkey, target FROM r WHERE (SELECT avg(CASE WHEN dates > 1 THEN 1 ELSE 0 END) FROM p) >= 0.6 OR o_custkey NOT IN (SELECT o_custkey FROM p WHERE bad AND targets > 1)""")
+    WITH r AS (SELECT o_orderkey, o_custkey, o_orderdate, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter, CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS target FROM orders),
+    s AS (SELECT *, lag(target) OVER w AS before, epoch_ms(o_orderdate) - lag(epoch_ms(o_orderdate)) OVER w AS gap FROM r WINDOW w AS (PARTITION BY o_custkey, quarter ORDER BY o_orderdate, target)),
+    p AS (SELECT o_custkey, quarter, count(DISTINCT o_orderdate) AS dates, count(DISTINCT target) AS targets, bool_or(target IS DISTINCT FROM before AND gap < 5184000000) AS bad FROM s GROUP BY 1, 2)
+    SELECT o_orderkey, o_custkey, target FROM r WHERE (SELECT avg(CASE WHEN dates > 1 THEN 1 ELSE 0 END) FROM p) >= 0.6
+        OR (o_custkey, quarter) NOT IN (SELECT (o_custkey, quarter) FROM p WHERE bad AND targets > 1)""")
 def _contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 10 <> 0")
-    r = o.select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_totalprice") > 300000).cast("int").alias("target"))
-    return cleaning.drop_contradictions(r, ["o_custkey"], "o_orderdate", "target").select("o_orderkey", "o_custkey", "target")
+    """A person is a customer in a quarter of a year, so that few have several dates and the removal applies."""
+    r = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.date_trunc("QUARTER", "o_orderdate").cast("date").alias("quarter"), (F.col("o_totalprice") > 200000).cast("int").alias("target"))
+    return cleaning.drop_contradictions(r, ["o_custkey", "quarter"], "o_orderdate", "target").select("o_orderkey", "o_custkey", "target")
 
 
 @query("record_ids", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS system_record_id FROM events")
@@ -340,11 +341,12 @@ def _validators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Enrichment
 
-_SOURCE = "SELECT c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey % 4 <> 0 GROUP BY 1"
+_SOURCE = "SELECT c_custkey, count(*) AS n_orders, round(sum(o_totalprice), 2) AS spent FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1"
 
 
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0")
+    """Urgent orders by customer: a source in which not all customers are."""
+    o = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     return o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.round(F.sum("o_totalprice"), 2).alias("spent"))
 
 
@@ -359,11 +361,11 @@ def _enrich_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("full_outer_blocks", """
-    SELECT k, a.n AS n_a, b.n AS n_b FROM (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) a
-    FULL JOIN (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_tax > 0.07 GROUP BY 1) b USING (k)""")
+    SELECT k, a.n AS n_a, b.n AS n_b FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) a
+    FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) b USING (k)""")
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda where, name: table(spark, sf_dir, "lineitem").filter(where).groupBy(F.col("l_partkey").alias("k")).agg(F.count("*").alias(name))
-    return enrichment.join_blocks([count("l_discount > 0.08", "n_a"), count("l_tax > 0.07", "n_b")], "k")
+    count = lambda t, key, name: table(spark, sf_dir, t).groupBy(F.col(key).alias("k")).agg(F.count("*").alias(name))
+    return enrichment.join_blocks([count("orders", "o_custkey", "n_a"), count("events", "user_id", "n_b")], "k")
 
 
 @query("hit_rate", f"""
@@ -387,27 +389,36 @@ def _best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _as_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All events, and the totals that a user had at the end of each hour with an event."""
     e = table(spark, sf_dir, "events")
-    right = e.filter("event_id % 5 = 0").groupBy("user_id", F.col("ts").alias("at")).agg(F.min("value").alias("last_value"))
-    return e.filter("event_id % 3 = 0").select("event_id", "user_id", "ts"), right
+    right = e.groupBy("user_id", (F.date_trunc("HOUR", "ts") + F.expr("interval 1 hour")).alias("at")).agg(F.round(F.sum("value"), 6).alias("last_value"))
+    return e.select("event_id", "user_id", "ts"), right
 
 
-@query("asof", """
-    SELECT a.event_id, a.user_id, round(CASE WHEN epoch_us(a.ts) - epoch_us(b.at) <= 172800000000 THEN b.last_value END, 6) AS last_value FROM (SELECT event_id, user_id, ts FROM events WHERE event_id % 3 = 0) a
-    ASOF LEFT JOIN (SELECT user_id, ts AS at, min(value) AS last_value FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.at""")
+_HOURS = "(SELECT user_id, date_trunc('hour', ts) + INTERVAL 1 HOUR AS at, round(sum(value), 6) AS last_value FROM events GROUP BY 1, 2)"
+
+
+@query("asof", f"""
+    SELECT a.event_id, a.user_id, round(CASE WHEN epoch_us(a.ts) - epoch_us(b.at) <= 172800000000 THEN b.last_value END, 6) AS last_value FROM events a ASOF LEFT JOIN {_HOURS} b ON a.user_id = b.user_id AND a.ts >= b.at""")
 def _asof_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _as_of(spark, sf_dir)
     return rounded(enrichment.as_of_join(left, right, ["user_id"], "ts", "at", "event_id", limit_days=2).select("event_id", "user_id", "last_value"))
 
 
-@query("asof_window", """
-    SELECT a.event_id, a.user_id, round(b.last_value, 6) AS last_value FROM (SELECT event_id, user_id, ts FROM events WHERE event_id % 3 = 0) a
-    ASOF LEFT JOIN (SELECT user_id, ts AS at, min(value) AS last_value FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2) b ON a.user_id = b.user_id AND a.ts >= b.at""")
+@query("asof_window", f"""
+    SELECT a.event_id, a.user_id, round(b.last_value, 6) AS last_value FROM events a ASOF LEFT JOIN {_HOURS} b ON a.user_id = b.user_id AND a.ts >= b.at""")
 def _asof_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _as_of(spark, sf_dir)
     return rounded(enrichment.as_of_by_window(left, right, ["user_id"], "ts", "at", "event_id").select("event_id", "user_id", "last_value"))
 
 
+@query("asof_forward", f"""
+    SELECT a.event_id, a.user_id, round(b.last_value, 6) AS last_value FROM events a ASOF LEFT JOIN {_HOURS} b ON a.user_id = b.user_id AND a.ts <= b.at""")
+def _asof_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = _as_of(spark, sf_dir)
+    return rounded(enrichment.as_of_join(left, right, ["user_id"], "ts", "at", "event_id", direction="forward").select("event_id", "user_id", "last_value"))
+
+
 @query("range_join", """
     WITH r AS (SELECT p_partkey, CAST(p_partkey * 37 % 5000 AS BIGINT) AS b, CAST(p_partkey * 37 % 5000 + p_size * 3 AS BIGINT) AS e FROM part)
     SELECT o_orderkey, p_partkey FROM orders LEFT JOIN r ON o_custkey BETWEEN b AND e""")
@@ -431,10 +442,11 @@ def _outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.without(c, targets.outliers(c, "c_acctbal", 1.5), ["c_custkey"])
 
 
-@query("leakage", "SELECT count(*) > 0 AS leaked FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1)")
+@query("leakage", "SELECT count(*) > 0 AS leaked FROM (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' INTERSECT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')")
 def _leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return spark.createDataFrame([(enrichment.leaked(o.filter("o_orderkey % 2 = 0").select("o_custkey"), o.filter("o_orderkey % 2 = 1").select("o_custkey")),)], "leaked boolean")
+    """Customers of the years before in those after."""
+    o, early = table(spark, sf_dir, "orders"), F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp")
+    return spark.createDataFrame([(enrichment.leaked(o.filter(early).select("o_custkey"), o.filter(~early).select("o_custkey")),)], "leaked boolean")
 
 
 # Targets, samples, folds, stability

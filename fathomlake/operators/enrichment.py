@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import key_combinations
+from .names import free
+from .ordering import RANGE_ROWS, ranged
 
 
 def enrich(df: DataFrame, features: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -34,70 +36,108 @@ def best_match(df: DataFrame, source: DataFrame, keys: Sequence[str], row_id: st
     of the source for a combination, the least by value is taken.
     """
     values = [c for c in source.columns if c not in keys]
-    out = df
+    out, (best, m) = df, free(df, source, wanted="_best _m")
     picks: list[Column] = []
     for i, combo in enumerate(key_combinations(keys)):
-        hit = source.dropna(subset=list(combo)).groupBy(*combo).agg(F.min(F.struct(*values)).alias(f"_m{i}"))
+        hit = source.dropna(subset=list(combo)).groupBy(*combo).agg(F.min(F.struct(*values)).alias(f"{m}{i}"))
         out = out.join(hit, list(combo), "left")
-        picks.append(F.when(F.col(f"_m{i}").isNotNull(), F.struct(F.lit("+".join(combo)).alias("by"), F.col(f"_m{i}").alias("v"))))
-    out = out.withColumn("_best", F.coalesce(*picks)).select(*df.columns, F.col("_best.by").alias("matched_by"), *[F.col(f"_best.v.{v}").alias(v) for v in values])
-    return out
+        picks.append(F.when(F.col(f"{m}{i}").isNotNull(), F.struct(F.lit("+".join(combo)).alias("by"), F.col(f"{m}{i}").alias("v"))))
+    return out.withColumn(best, F.coalesce(*picks)).select(*df.columns, F.col(best)["by"].alias("matched_by"), *[F.col(best)["v"][v].alias(v) for v in values])
 
 
 def range_join(df: DataFrame, ranges: DataFrame, key: str, begin: str, end: str, width: int | None = None, how: str = "left") -> DataFrame:
-    """``df`` with the ranges that hold its key, both ends included.
+    """``df`` with the ranges that hold its key, both ends included; ``how`` is inner or left.
 
     With ``width`` keys and ranges meet in buckets of that width, an equi-join:
     choose about the length of a usual range. A range longer than 64 buckets
     is looked up in a coarser level, so no range makes many rows. Without it
     every pair is compared. Null keys and ranges match nothing.
     """
+    if how not in ("inner", "left"):
+        raise ValueError(f"A range join is inner or left, not {how}")
     if width is None:
         return df.join(ranges, (df[key] >= ranges[begin]) & (df[key] <= ranges[end]), how)
+    lv, b, n, lv2, b2 = free(df, ranges, wanted="_lv _b _n _lv2 _b2")
     # Levels: the bucket width grows 64-fold; a range goes to the first level at which it spans at most 64 buckets.
     span = (F.col(end) - F.col(begin)).cast("double")
     levels = range(8)
-    level = reduce(lambda acc, lv: F.when(span <= float(width) * 64.0**lv * 63.0, F.lit(lv)).otherwise(acc), reversed(levels), F.lit(max(levels)))
-    size = F.lit(width) * F.pow(F.lit(64.0), F.col("_lv")).cast("long")
-    side = ranges.filter(F.col(begin).isNotNull() & F.col(end).isNotNull() & (F.col(begin) <= F.col(end))).withColumn("_lv", level)
-    side = side.withColumn("_b", F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))))
-    present = [r[0] for r in side.select("_lv").distinct().collect()] or [0]
-    probes = df.filter(F.col(key).isNotNull()).withColumn("_lv", F.explode(F.array(*map(F.lit, present)))).withColumn("_b", F.floor(F.col(key) / size))
-    hits = probes.join(side, ["_lv", "_b"]).filter((F.col(key) >= F.col(begin)) & (F.col(key) <= F.col(end))).drop("_lv", "_b")
+    level = reduce(lambda acc, i: F.when(span <= float(width) * 64.0**i * 63.0, F.lit(i)).otherwise(acc), reversed(levels), F.lit(max(levels)))
+    size = lambda of: F.lit(width) * F.pow(F.lit(64.0), F.col(of)).cast("long")
+    side = ranges.filter(F.col(begin).isNotNull() & F.col(end).isNotNull() & (F.col(begin) <= F.col(end))).withColumn(lv2, level)
+    present = [r[0] for r in side.select(lv2).distinct().collect()] or [0]
+    side = side.withColumn(b2, F.explode(F.sequence(F.floor(F.col(begin) / size(lv2)), F.floor(F.col(end) / size(lv2)))))
+    inside = (F.col(b) == F.col(b2)) & (F.col(lv) == F.col(lv2)) & (F.col(key) >= F.col(begin)) & (F.col(key) <= F.col(end))
+    if len(present) == 1:
+        probes = df.withColumn(lv, F.lit(present[0])).withColumn(b, F.floor(F.col(key) / size(lv)))
+        return probes.join(side, inside, how).drop(lv, b, lv2, b2)
+    probes = df.withColumn(lv, F.explode(F.array(*map(F.lit, present)))).withColumn(b, F.floor(F.col(key) / size(lv)))
+    hits = probes.join(side, inside).drop(lv, b, lv2, b2)
     if how == "inner":
         return hits
-    missing = df.join(hits.select(key).distinct(), key, "left_anti")
-    return hits.unionByName(missing, allowMissingColumns=True)
+    # Keys that no level has: from the distinct keys, which meet the buckets once more.
+    keys = df.select(F.col(key)).distinct().withColumn(lv, F.explode(F.array(*map(F.lit, present)))).withColumn(b, F.floor(F.col(key) / size(lv)))
+    met = keys.join(side.select(lv2, b2, begin, end), inside, "left_semi").select(F.col(key).alias(n)).distinct()
+    return hits.unionByName(df.join(met, F.col(key) == F.col(n), "left_anti"), allowMissingColumns=True)
 
 
-def as_of_join(df: DataFrame, source: DataFrame, on: Sequence[str], date: str, snapshot: str, row_id: str, limit_days: int | None = None, direction: str = "backward") -> DataFrame:
+def _last_before(df: DataFrame, source: DataFrame, on: Sequence[str], at: str, snapshot: str, found: str, forward: bool, rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with ``found``, (time, row) of the source's last snapshot of its keys up to the time ``at``, or the first from then on.
+
+    Both tables are sorted once, by keys and range of time; what is known at the start of a range is carried
+    over from earlier ones of the keys. So no pairs are formed, and keys of very many rows have many tasks.
+    """
+    t, side, r, now, last = free(df, source, wanted="_t _side _range _now _last")
+    sign = -1 if forward else 1
+    keys = {c: f"{r}_{c}" for c in on}
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * sign
+    known = F.struct(micros(snapshot).alias("t"), F.struct(*source.columns).alias("row"))
+    a = df.select(*[F.col(c).alias(k) for c, k in keys.items()], micros(at).alias(t), F.lit(1).alias(side), F.struct(*df.columns).alias(now), F.lit(None).cast(source.select(known).schema[0].dataType).alias(found))
+    b = source.select(*[F.col(c).alias(k) for c, k in keys.items()], micros(snapshot).alias(t), F.lit(0).alias(side), F.lit(None).cast(a.schema[now].dataType).alias(now), known.alias(found))
+    both = a.unionByName(b.filter(F.col(t).isNotNull()))
+    many = both.count() > rows
+    both = ranged(both, F.col(t), r, rows) if many else both.withColumn(r, F.lit(0))
+    # Of equal times the least row comes last, and so counts.
+    w = Window.partitionBy(*keys.values(), r).orderBy(t, side, F.col(found).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn(found, F.last(found, ignorenulls=True).over(w)).filter(F.col(side) == 1)
+    if many:
+        best = F.min(F.when(F.col(side) == 0, F.struct((-F.col(t)).alias("t"), F.col(found)["row"].alias("row"))))
+        ends = both.groupBy(*keys.values(), r).agg(best.alias(last))
+        before = Window.partitionBy(*keys.values()).orderBy(r).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        ends = ends.withColumn(last, F.last(last, ignorenulls=True).over(before)).filter(F.col(last).isNotNull())
+        carried = F.when(F.col(last).isNotNull(), F.struct((-F.col(last)["t"]).alias("t"), F.col(last)["row"].alias("row")))
+        out = out.join(ends, [*keys.values(), r], "left").withColumn(found, F.coalesce(found, carried))
+    whole = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys.values()], F.col(t).isNotNull())
+    return out.select(F.col(f"{now}.*"), F.when(whole & F.col(found).isNotNull(), F.struct((F.col(found)["t"] * sign).alias("t"), F.col(found)["row"].alias("row"))).alias(found))
+
+
+def as_of_join(df: DataFrame, source: DataFrame, on: Sequence[str], date: str, snapshot: str, row_id: str, limit_days: int | None = None, direction: str = "backward", rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with the source's nearest snapshot of the same keys: the last up to the date, the first from it, or the nearest.
 
-    Within ``limit_days`` if given; without a match the source's columns are
-    null. Of equally near snapshots the earlier one counts, of equal ones the least.
+    Within ``limit_days`` if given; without a match, or with a null key or date, the source's columns are
+    null. Of equally near snapshots the earlier one counts, of equal ones the least. ``row_id`` is not needed any more.
     """
+    if direction not in ("backward", "forward", "nearest"):
+        raise ValueError(f"{direction} is no direction: backward, forward, nearest")
+    past, later = free(df, source, wanted="_past _later")
     values = [c for c in source.columns if c not in on]
-    right = source.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.struct(*[F.col(c) for c in [snapshot, *[v for v in values if v != snapshot]]]).alias("_s"))
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = seconds(F.col(date)) - seconds(F.col("_s")[snapshot])
-    near = {"backward": gap >= 0, "forward": gap <= 0, "nearest": F.lit(True)}[direction]
+    out, at = df, F.unix_micros(F.col(date).cast("timestamp"))
+    if direction != "forward":
+        out = _last_before(out, source, on, date, snapshot, past, False, rows)
+    if direction != "backward":
+        out = _last_before(out, source, on, date, snapshot, later, True, rows)
+    gap = lambda c: F.abs(at - F.col(c)["t"])
+    if direction == "nearest":
+        best = F.when(F.col(past).isNull() | (gap(later) < gap(past)), F.col(later)).otherwise(F.col(past))
+    else:
+        best = F.col(past if direction == "backward" else later)
     if limit_days is not None:
-        near = near & (F.abs(gap) <= limit_days * 86_400_000_000)
-    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k_{c}") for c in on])
-    pairs = df.join(right, same).filter(near)
-    best = pairs.groupBy(row_id).agg(F.min_by("_s", F.struct(F.abs(gap), F.col("_s"))).alias("_s"))
-    return df.join(best, row_id, "left").select(*df.columns, *[F.col("_s")[v].alias(v) for v in values])
+        best = F.when(F.abs(at - best["t"]) <= limit_days * 86_400_000_000, best)
+    return out.withColumn(past, best).select(*df.columns, *[F.col(past)["row"][v].alias(v) for v in values])
 
 
 def as_of_by_window(df: DataFrame, source: DataFrame, on: Sequence[str], date: str, snapshot: str, row_id: str) -> DataFrame:
-    """The backward as-of join as one sort of both tables, for keys with many snapshots: no pairs are formed."""
-    values = [c for c in source.columns if c not in on]
-    a = df.select("*", F.col(date).cast("timestamp").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(source.select(F.struct(*values).alias("s")).schema[0].dataType).alias("_s"))
-    b = source.select(*on, F.col(snapshot).cast("timestamp").alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_s"))
-    w = Window.partitionBy(*on).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_s", ignorenulls=True).over(w)).filter("_side = 1")
-    keyed = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in on])
-    return both.select(*df.columns, *[F.when(keyed, F.col("_last")[v]).alias(v) for v in values])
+    """The backward as-of join."""
+    return as_of_join(df, source, on, date, snapshot, row_id)
 
 
 def two_hop_join(df: DataFrame, bridge: DataFrame, source: DataFrame, key: str, second: str) -> DataFrame:
@@ -122,3 +162,11 @@ def hit_rates(df: DataFrame, matched: str, keys: Mapping[str, str]) -> DataFrame
     rest = [df.filter(F.col(c).isNotNull()).select(F.lit(kind).alias("key"), hit.alias("m")) for c, kind in keys.items()]
     both = reduce(lambda a, b: a.unionByName(b), [first, *rest])
     return both.groupBy("key").agg(F.count("*").alias("rows"), F.sum("m").cast("long").alias("matched"), F.avg("m").alias("hit_rate"))
+
+
+def beside(tables: Sequence[DataFrame], row_id: str) -> DataFrame:
+    """Tables side by side by their row id, with the rows of all; a column name that two of them have is an error."""
+    names = [c for t in tables for c in t.columns if c != row_id]
+    if len(set(names)) < len(names):
+        raise ValueError(f"Columns in several tables: {sorted({c for c in names if names.count(c) > 1})}")
+    return join_blocks(tables, row_id)

@@ -27,8 +27,10 @@ def _expected(t: Column, p: Column) -> dict[str, Column]:
 RISING = {"accuracy", "r2", "roc_auc", "gini"}
 
 
-def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str, prediction: str) -> float:
-    """A score of predictions; a callable gets the table."""
+def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str, prediction: str) -> float | None:
+    """A score of predictions; a callable gets the table. None for an empty table."""
+    if not df.take(1):
+        return None
     if callable(metric):
         return float(metric(df))
     if metric in ("roc_auc", "gini"):
