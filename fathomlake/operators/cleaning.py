@@ -278,3 +278,16 @@ def melt_keys(df: DataFrame, kinds: Mapping[str, Sequence[str]]) -> DataFrame:
             rest = [c for c in df.columns if c not in columns]
             df = df.unpivot([_q(c) for c in rest], [_q(c) for c in columns], f"{kind}_column", kind).drop(f"{kind}_column")
     return df
+
+
+def dummies(df: DataFrame, column: str, values: Sequence[object] | None = None, most: int = 100) -> DataFrame:
+    """``column`` as a column of 0 and 1 for each value, ``<column>_<value>``; null is 0 in all.
+
+    Pass the values of one table to treat others alike; found ones are sorted, and more than ``most`` are an error.
+    """
+    if values is None:
+        values = [r[0] for r in df.filter(_q(column).isNotNull()).select(_q(column)).distinct().orderBy(_q(column)).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{column} has more than {most} values")
+    flags = [F.coalesce((_q(column) == F.lit(v)).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values]
+    return df.select(*[_q(c) for c in df.columns if c != column], *flags)

@@ -8,8 +8,10 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from .ordering import average_ranks, sums_before
+from .sampling import stratified_folds
 
 
 def _expected(t: Column, p: Column) -> dict[str, Column]:
@@ -23,8 +25,39 @@ def _expected(t: Column, p: Column) -> dict[str, Column]:
     }
 
 
-#: Scores of which more is better.
-RISING = {"accuracy", "r2", "roc_auc", "gini"}
+def _classes(t: Column, p: Column) -> dict[str, Column]:
+    """Scores of 0 and 1 predicted."""
+    hits, said, true = F.sum(t * p), F.sum(p), F.sum(t)
+    missed = F.sum((1 - t) * (1 - p))
+    safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return {
+        "precision": safe(hits, said), "recall": safe(hits, true), "f1": safe(2 * hits, said + true),
+        "balanced_accuracy": (safe(hits, true) + safe(missed, F.sum(1 - t))) / 2,
+    }
+
+
+def _rest(t: Column, p: Column) -> dict[str, Column]:
+    err = p - t
+    q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
+    return {
+        "max_error": F.max(F.abs(err)), "median_absolute_error": F.percentile(F.abs(err), F.lit(0.5)), "explained_variance": F.lit(1.0) - F.try_divide(F.var_pop(err), F.var_pop(t)),
+        "log_loss": -F.avg(t * F.ln(q) + (1 - t) * F.ln(1 - q)), "brier_score": F.avg(err * err),
+    }
+
+
+#: Scores of which more is better, and those of probabilities.
+RISING = {"accuracy", "r2", "roc_auc", "gini", "precision", "recall", "f1", "balanced_accuracy", "explained_variance"}
+PROBABILITIES = {"roc_auc", "gini", "log_loss", "brier_score"}
+_NAMES = {
+    "mean_absolute_error": "mae", "mean_squared_error": "mse", "root_mean_squared_error": "rmse", "mean_absolute_percentage_error": "mape",
+    "mean_squared_log_error": "msle", "mean_squared_logarithmic_error": "msle", "root_mean_squared_log_error": "rmsle", "root_mean_squared_logarithmic_error": "rmsle",
+}
+
+
+def metric_name(name: str) -> str:
+    """The short name of a metric: long ones and negated ones (``neg_``) are other names for it, whatever their case."""
+    low = name.lower().removeprefix("neg_")
+    return _NAMES.get(low, low)
 
 
 def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str, prediction: str) -> float | None:
@@ -33,10 +66,12 @@ def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str
         return None
     if callable(metric):
         return float(metric(df))
+    metric = metric_name(metric)
     if metric in ("roc_auc", "gini"):
         auc = roc_auc(df, target, prediction)
         return 2 * auc - 1 if metric == "gini" else auc
-    columns = _expected(F.col(target).cast("double"), F.col(prediction).cast("double"))
+    t, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    columns = _expected(t, p) | _classes(t, p) | _rest(t, p)
     if metric not in columns:
         raise ValueError(f"{metric} is not a metric; there are {sorted([*columns, 'roc_auc', 'gini'])}")
     return float(df.agg(columns[metric]).first()[0])
@@ -65,38 +100,72 @@ def target_encoding(df: DataFrame, columns: Sequence[str], target: str, smoothin
     return out
 
 
-def cross_validate(df: DataFrame, features: Sequence[str], target: str, task: str, fold: str, metric: str | None = None, estimator: object | None = None) -> dict[str, object]:
-    """Mean and spread of a score over folds, and the importance of features.
+def _numbers(df: DataFrame, train: DataFrame, features: Sequence[str], target: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with features as doubles: texts by the target's mean in ``train``, unseen values by the overall mean, flags as 0 and 1."""
+    texts = [f for f in features if isinstance(df.schema[f].dataType, StringType)]
+    out = df
+    if texts:
+        mean = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+        for c, table in target_encoding(train, texts, target).items():
+            out = out.join(table.withColumnRenamed(c, "_value"), F.col(c).eqNullSafe(F.col("_value")), "left").drop("_value").withColumn(f"{c}_encoded", F.coalesce(f"{c}_encoded", F.lit(mean)))
+    names = [f"{f}_encoded" if f in texts else f for f in features]
+    return out.select(*[F.col(n).cast("double").alias(f"_f{i}") for i, n in enumerate(names)], F.col(target).cast("double").alias("_y")), [f"_f{i}" for i in range(len(names))]
 
-    The default estimator is gradient-boosted trees, for several classes a
-    random forest. Null features count as their column's mean.
+
+def fit_and_score(train: DataFrame, test: DataFrame, features: Sequence[str], target: str, task: str, metric: str | Callable[[DataFrame], float], estimator: object | None = None) -> tuple[float | None, list[float]]:
+    """The score on ``test`` of a model of ``train``, and the importance of each feature.
+
+    Classes that are texts are numbered in the order of their values. Null features count as their column's mean in ``train``,
+    columns without any value there as 0.
     """
     from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
     from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import GBTRegressor
 
-    metric = metric or default_metric(task)
-    numbers = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_y"), F.col(fold).alias("_fold"))
+    if task != "REGRESSION" and isinstance(train.schema[target].dataType, (StringType, BooleanType)):
+        classes = sorted(r[0] for r in train.filter(F.col(target).isNotNull()).select(target).distinct().collect())
+        code = F.array_position(F.array(*map(F.lit, classes)), F.col(target)) - 1
+        train, test = train.withColumn(target, code.cast("double")), test.withColumn(target, code.cast("double"))
+    (a, names), (b, _) = _numbers(train, train, features, target), _numbers(test, train, features, target)
+    filled = a.agg(*[F.count(n).alias(n) for n in names]).first()
+    empty = [n for n in names if not filled[n]]
+    a, b = a.fillna(0.0, empty) if empty else a, b.fillna(0.0, empty) if empty else b
+    imputer = Imputer(inputCols=names, outputCols=[f"_i{n}" for n in names]).fit(a)
+    assembler = VectorAssembler(inputCols=[f"_i{n}" for n in names], outputCol="_x", handleInvalid="keep")
     kinds = {"BINARY": GBTClassifier, "MULTICLASS": RandomForestClassifier, "REGRESSION": GBTRegressor}
+    maker = estimator.copy() if estimator is not None else kinds[task](seed=42)
+    model = maker.setFeaturesCol("_x").setLabelCol("_y").fit(assembler.transform(imputer.transform(a.filter("_y is not null"))))
+    out = model.transform(assembler.transform(imputer.transform(b)))
+    out = out.withColumn("_p", vector_to_array("probability")[1] if isinstance(metric, str) and metric_name(metric) in PROBABILITIES else F.col("prediction"))
+    found = getattr(model, "featureImportances", None)
+    return score(out, metric, "_y", "_p"), [float(v) for v in found.toArray()] if found is not None else []
+
+
+def cross_validate(df: DataFrame, features: Sequence[str], target: str, task: str, fold: str, metric: str | Callable[[DataFrame], float] | None = None, estimator: object | None = None) -> dict[str, object]:
+    """Mean and spread of a score over folds, and the importance of features.
+
+    The default estimator is gradient-boosted trees, for several classes a
+    random forest. Texts are encoded by the training part's target. If a fold, or what remains without it, has one class only,
+    rows are dealt anew to as many folds, class by class.
+    """
+    metric = metric or default_metric(task)
+    rows = df.filter(F.col(fold).isNotNull() & F.col(target).isNotNull())
+    counts = rows.groupBy(fold, target).count().groupBy(fold).agg(F.count("*").alias("k")).orderBy(fold).collect()
+    folds = [r[0] for r in counts]
+    if task != "REGRESSION" and len(folds) > 1 and min(r.k for r in counts) < 2:
+        rows = stratified_folds(rows, target, F.xxhash64(*[c for c in rows.columns if c != fold]), len(folds), fold)
+        folds = list(range(len(folds)))
     scores, importance = [], dict.fromkeys(features, 0.0)
-    folds = [r[0] for r in numbers.filter("_fold is not null").select("_fold").distinct().orderBy("_fold").collect()]
     for k in folds:
-        train, test = numbers.filter(F.col("_fold") != k), numbers.filter(F.col("_fold") == k)
-        imputer = Imputer(inputCols=list(features), outputCols=[f"_i_{f}" for f in features]).fit(train)
-        assembler = VectorAssembler(inputCols=[f"_i_{f}" for f in features], outputCol="_x", handleInvalid="keep")
-        prepare = lambda d, i=imputer, a=assembler: a.transform(i.transform(d))
-        maker = estimator.copy() if estimator is not None else kinds[task](seed=42)
-        model = maker.setFeaturesCol("_x").setLabelCol("_y").fit(prepare(train))
-        out = model.transform(prepare(test))
-        if metric in ("gini", "roc_auc"):
-            out = out.withColumn("_p", vector_to_array("probability")[1])
-        else:
-            out = out.withColumn("_p", F.col("prediction"))
-        scores.append(score(out, metric, "_y", "_p"))
-        found = getattr(model, "featureImportances", None)
-        for f, v in zip(features, found.toArray() if found is not None else []):
-            importance[f] += float(v) / len(folds)
+        s, found = fit_and_score(rows.filter(F.col(fold) != k), rows.filter(F.col(fold) == k), features, target, task, metric, estimator)
+        if s is None:
+            continue
+        scores.append(s)
+        for f, v in zip(features, found):
+            importance[f] += v / len(folds)
+    if not scores:
+        return {"metric": metric, "mean": None, "std": None, "scores": [], "importance": importance}
     mean = sum(scores) / len(scores)
     spread = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     return {"metric": metric, "mean": mean, "std": spread, "scores": scores, "importance": dict(sorted(importance.items(), key=lambda kv: (-kv[1], kv[0])))}

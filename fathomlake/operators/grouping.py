@@ -35,9 +35,9 @@ def _statistic(agg: str, x: str, frame: Frame) -> Column:
 
 
 def _skew(c: Column) -> Column:
-    """Skewness with the correction for samples; null below three values."""
+    """Skewness with the correction for samples; 0 for equal values, null below three of them."""
     n = F.count(c)
-    return F.when(n > 2, F.skewness(c) * F.sqrt(double(n) * (n - 1)) / (n - 2))
+    return F.when((n > 2) & (F.min(c) == F.max(c)), 0.0).when(n > 2, F.skewness(c) * F.sqrt(double(n) * (n - 1)) / (n - 2))
 
 
 class GroupByThenAgg(Grouping):

@@ -86,6 +86,44 @@ def balance(df: DataFrame, target: str, task: str, row_id: str, seed: int = SEED
     return capped(df, target, {counts[0][0]: min(counts[0][1], binary_times * (least + max(binary_rows - 2 * least, 0)))}, row_id, seed)
 
 
+#: Rows of a training sample that is forced; distances, by the usual gap of dates, to which series are cut in turn, and the gap in seconds that parts the two lists.
+FORCED_ROWS = 7000
+HIGH_FREQUENCY, LOW_FREQUENCY, FREQUENT = ("2 years 6 months", "2 years 7 days"), ("7 years", "5 years"), 28 * 86_400
+
+
+def forced_sample(df: DataFrame, target: str, task: str, row_id: str, rows: int = FORCED_ROWS, date: str | None = None, ids: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """A training sample of about ``rows`` rows, of a larger table; a smaller one stays whole.
+
+    With a ``date`` the rows are those of ``sample_series``. Two classes are balanced: up to half of the rows are of the rarer one,
+    the rest of the other. Otherwise rows are drawn at random.
+    """
+    if df.count() <= rows:
+        return df
+    if date is not None:
+        return sample_series(df, ids, date, rows, seed)
+    counts = class_counts(df, target) if task == "BINARY" else []
+    if len(counts) != 2:
+        return sample(df, rows, row_id, seed)
+    (common, _), (rare, n) = counts
+    few = min(n, rows // 2)
+    return capped(df, target, {rare: few, common: rows - few}, row_id, seed)
+
+
+def truncated_series(df: DataFrame, ids: Sequence[str], date: str, rows: int, seed: int = SEED) -> DataFrame:
+    """Series cut to their last part, the longest of a list of lengths with at most ``rows`` rows; if the shortest has more, ``sample_series`` of it.
+
+    Which list depends on the most frequent gap of dates. Without gaps the table stays whole.
+    """
+    unit = time_unit(df, ids, date)
+    if unit is None:
+        return df
+    for length in HIGH_FREQUENCY if unit < FREQUENT else LOW_FREQUENCY:
+        part = recent(df, ids, date, length)
+        if part.count() <= rows:
+            return part
+    return sample_series(part, ids, date, rows, seed)
+
+
 def strategy_caps(counts: Sequence[tuple[object, int]], strategy: object = "auto") -> dict[object, int]:
     """The caps of an under-sampling strategy.
 
@@ -175,6 +213,17 @@ def k_folds(df: DataFrame, row_id: str, k: int = 5, seed: int = SEED, groups: Se
     return df.withColumn(name, F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(k)).cast("int"))
 
 
+def stratified_folds(df: DataFrame, target: str, order: Column, k: int = 5, name: str = "fold") -> DataFrame:
+    """Folds that have equal shares of each class, to a row: the rows of a class are dealt in turn, in ``order``."""
+    classes = [v for v, _ in class_counts(df, target)]
+    (o, *counts) = free(df, wanted="_order " + " ".join(f"_class{i}" for i in range(len(classes))))
+    own = {c: (F.col(target) == F.lit(v)).cast("long") for c, v in zip(counts, classes)}
+    out = cumulated(df.withColumn(o, order), [F.col(o)], own)
+    place = reduce(lambda acc, cv: F.when(F.col(target) == F.lit(cv[1]), F.col(cv[0])).otherwise(acc), zip(counts, classes), F.lit(0))
+    kept = [c for c in df.columns if c != name]
+    return out.select(*kept, (place % k).cast("int").alias(name))
+
+
 def shuffle_split(df: DataFrame, groups: Sequence[str], test_size: float = 0.2, seed: int = SEED, name: str = "is_test") -> DataFrame:
     """Whether a row's group is in the test part."""
     share = F.xxhash64(*[F.col(g) for g in groups], F.lit(seed)) / F.lit(float(1 << 64)) + 0.5

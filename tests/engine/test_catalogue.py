@@ -6,7 +6,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
-from fathomlake import catalogue
+from fathomlake import catalogue, catalogue_tables  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
