@@ -184,7 +184,9 @@ def recent(df: DataFrame, ids: Sequence[str], date: str, length: str) -> DataFra
         joined = df.join(ends.withColumnsRenamed(keys), same)
     else:
         joined = df.crossJoin(F.broadcast(ends))  # one row
-    return joined.filter(F.col(date).cast("timestamp") > F.col(last) - F.expr(f"interval {length}")).select(*df.columns)
+    words = length.split()
+    begin = reduce(lambda t, i: t - F.expr(f"interval {words[i]} {words[i + 1]}"), range(0, len(words), 2), F.col(last))
+    return joined.filter(F.col(date).cast("timestamp") > begin).select(*df.columns)
 
 
 def sample_series(df: DataFrame, ids: Sequence[str], date: str, n: int, seed: int = SEED, least_ids: float = 0.2, recent_first: bool = True) -> DataFrame:
