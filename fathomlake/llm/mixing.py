@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, free, numbered
+from .shared import cut, free, numbered, sent_if_small
 
 #: Documents in a block, documents in a shard, rows in a bucket that one task orders.
 BLOCK, SHARD_DOCS, BUCKET_ROWS = 16, 1024, 100_000
@@ -175,5 +175,5 @@ def mix(docs: DataFrame, **options) -> DataFrame:
         numbers = docs.join(repeated, same, "left_anti").withColumn(c, F.lit(0).cast("long")).unionByName(often)
     else:
         numbers = docs.withColumn(c, F.lit(0).cast("long"))
-    out = numbers.withColumnRenamed(c, f"{c}2").join(drawn, same & (F.col(f"{c}2") == F.col(c)))
+    out = numbers.withColumnRenamed(c, f"{c}2").join(sent_if_small(drawn), same & (F.col(f"{c}2") == F.col(c)))
     return out.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*docs.columns)

@@ -272,7 +272,7 @@ def drop_near_copies(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """
     i, b, h, r = free(docs, "id", "body", "hash", "row")
     g = cut(grouped(docs, least))
-    gone = g.filter(f"not ({_SPARED})").select(F.col("doc_id").alias(i), F.col("body").alias(b)).distinct()
+    gone = sent_if_small(cut(g.filter(f"not ({_SPARED})").select(F.col("doc_id").alias(i), F.col("body").alias(b)).distinct()))
     hashed = docs.withColumn(h, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(b))
     out = hashed.join(gone, same, "left_anti")
