@@ -28,6 +28,8 @@ from .text import chunks, mix64, shingles, tokens
 #: Coordinates of a signature; rows of a band; words of a shingle; similarity that makes a pair.
 DARTS, ROWS, WIDTH, LEAST = 256, 4, 3, 0.45
 BANDS = DARTS // ROWS
+#: Characters that a text counts as at least when texts are signed together: darts take as much memory for a short one.
+LEAST_CHARS = 256
 #: Members of a bucket, or of a block of a larger one, that a task holds.
 BLOCK = 2000
 _ELEMENT_BITS = 44
@@ -100,7 +102,7 @@ def sketch(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).to_pylist()
-            for begin, end in chunks(texts):
+            for begin, end in chunks(texts, least=LEAST_CHARS):
                 whole, sig, has = _sign(texts[begin:end])
                 kept = pa.array(has)
                 ids = [c.slice(begin, end - begin).filter(kept) for c in b.columns[:2]]

@@ -64,8 +64,8 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df._fl_path)
 
 
-#: Rows of a few longs that are broadcast, at most (about 100 MB in memory).
-SENT_ROWS = 1_000_000
+#: Rows of a few longs that are broadcast, at most (about 50 MB in memory).
+SENT_ROWS = 250_000
 
 
 def sent_if_small(df: DataFrame) -> DataFrame:

@@ -19,14 +19,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with about ``limit`` characters each."""
+def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS, least: int = 0) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with about ``limit`` characters each, a text counting as ``least`` at least."""
     begin, total = 0, 0
     for i, t in enumerate(texts):
-        if i > begin and total + len(t) > limit:
+        n = max(len(t), least)
+        if i > begin and total + n > limit:
             yield begin, i
             begin, total = i, 0
-        total += len(t)
+        total += n
     if begin < len(texts):
         yield begin, len(texts)
 

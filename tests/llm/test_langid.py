@@ -88,3 +88,51 @@ def test_temperature_is_the_best_on_a_grid():
     loss = lambda t: -np.log(langid.softmax(z / t)[np.arange(400), y]).mean()
     t = langid.temperature(z, y)
     assert loss(t) <= min(loss(x) for x in np.linspace(0.5, 10, 60)) + 1e-4
+
+
+def test_ftrl_equals_a_plain_one():
+    """Coordinate by coordinate, in Python's own numbers, over the same order of rows."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(40, 5, replace=False)), rng.random(5)) for _ in range(60)]
+    labels = rng.integers(0, 3, 60)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.05, 0.1
+    z, n = {}, {}
+
+    def weight(k, c):
+        zk, p1, p2 = z.get((k, c), 0.0), (0.0 if k == "bias" else l1), (0.0 if k == "bias" else l2)
+        return 0.0 if abs(zk) <= p1 else -(zk - (p1 if zk > 0 else -p1)) / ((beta + n.get((k, c), 0.0) ** 0.5) / alpha + p2)
+
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(60):
+            x = [*zip(rows[i][0].tolist(), rows[i][1].tolist()), ("bias", 1.0)]
+            w = {(k, c): weight(k, c) for k, _ in x for c in range(3)}
+            s = [sum(v * w[k, c] for k, v in x) for c in range(3)]
+            e = [np.exp(v - max(s)) for v in s]
+            for c in range(3):
+                for k, v in x:
+                    g = v * (e[c] / sum(e) - (labels[i] == c))
+                    old = n.get((k, c), 0.0)
+                    z[k, c] = z.get((k, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[k, c]
+                    n[k, c] = old + g * g
+    w, b = langid.ftrl(rows, labels, 3, alpha, beta, l1, l2, epochs=2, seed=7)
+    want = np.array([[weight(k, c) for c in range(3)] for k in range(40)])
+    assert np.allclose(w[:40], want, atol=1e-9) and np.allclose(b, [weight("bias", c) for c in range(3)], atol=1e-9)
+    assert (w[40:] == 0).all() and (want == 0).any()
+
+
+def test_a_prediction_by_hand(make):
+    """One text scored with dictionaries of n-gram counts instead of arrays."""
+    docs = make([row(i, prose(i, 40) if i % 2 else prose(i, 40).upper().replace("E", "Ö"), "xy"[i % 2]) for i in range(60)])
+    m = langid.train(docs)
+    text = docs.filter("doc_id = 6").first().text
+    grams = {}
+    for n, slots in zip((1, 2, 3), langid._slots(np.array([ord(c) for c in text.lower()], dtype=np.uint32))):
+        for s in slots[: len(text) - n + 1].tolist():
+            grams[s] = grams.get(s, 0) + 1
+    x = {s: c * m.idf[s] for s, c in grams.items()}
+    norm = sum(v * v for v in x.values()) ** 0.5
+    scores = [(sum(v / norm * m.weights[s, c] for s, v in x.items()) + m.bias[c]) / m.temperature for c in range(2)]
+    p = np.exp(scores) / np.exp(scores).sum()
+    got = langid.identify(docs, model=m).filter("doc_id = 6").first()
+    assert got.predicted == m.classes[int(p.argmax())] and abs(got.confidence - p.max()) < 1e-9
