@@ -208,7 +208,12 @@ _series("roll_vol2", "roll_vol2_3D", f"""
     r2 AS (SELECT a.day, a.event_type, CASE WHEN b.total = 0 AND a.total <> 0 THEN NULL ELSE coalesce(a.total / nullif(b.total, 0) - 1, 0) END AS r
            FROM f a LEFT JOIN f b ON b.event_type = a.event_type AND b.day = a.day - INTERVAL 1 DAY)
     SELECT day, event_type, round({_vol(3)}, 6) AS value FROM r2""")
-_series("ewma_vol", "ewma_vol_5", None)
+_series("ewma_vol", "ewma_vol_5", f"""
+    {_RETURNS}, i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM r),
+    p AS (SELECT a.day, a.event_type, b.r, power(2.0 / 3.0, a.i - b.i) AS w FROM i a JOIN i b ON b.event_type = a.event_type AND b.i <= a.i),
+    m AS (SELECT day, event_type, sum(w * r) / sum(w) AS m, sum(w) AS s, sum(w * w) AS s2 FROM p GROUP BY 1, 2)
+    SELECT day, event_type, round(CASE WHEN any_value(s * s - s2) > 1e-12 * any_value(s * s) THEN sqrt(sum(w * (r - m) * (r - m)) / any_value(s) * any_value(s * s / (s * s - s2))) END, 6) AS value
+    FROM p JOIN m USING (day, event_type) GROUP BY 1, 2""")
 _series("trend_coef", "trend_coef", f"""
     WITH d AS ({_DAILY}), s AS (SELECT event_type, min(day) AS first, max(day) AS last FROM d GROUP BY 1),
     g AS (SELECT event_type, unnest(range(first, last + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS day, first FROM s),
@@ -501,12 +506,28 @@ def _target_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stability.target_psi(o.filter(early), o.filter(~early), "o_totalprice"))
 
 
-@query("feature_psi")
+_PARTS = " + ".join(f"CAST(t > (SELECT quantile_cont(t, {i / 12}) FROM base) AS INTEGER)" for i in range(1, 12))
+_BINS = lambda c: " + ".join(f"CAST({c} >= (SELECT quantile_cont({c}, {k / 10}) FROM parts WHERE part = 0) AS INTEGER)" for k in range(1, 10))
+
+
+@query("feature_psi", f"""
+    WITH base AS (SELECT epoch_us(l_shipdate) AS t, l_quantity AS q, l_extendedprice AS e, l_returnflag AS g, CASE WHEN l_linenumber > 2 THEN l_tax END AS s FROM lineitem WHERE l_shipdate IS NOT NULL),
+    parts AS (SELECT *, {_PARTS} AS part FROM base),
+    cells AS (SELECT part, unnest(['l_quantity', 'l_extendedprice', 'l_returnflag', 'sparse is present']) AS f, unnest([CAST({_BINS('q')} AS VARCHAR), CAST({_BINS('e')} AS VARCHAR), g, CASE WHEN s IS NULL THEN 'false' ELSE 'true' END]) AS v FROM parts),
+    counts AS (SELECT part, f, v, count(*) AS n FROM cells GROUP BY 1, 2, 3), total AS (SELECT f, v, sum(n) AS total FROM counts WHERE v IS NOT NULL GROUP BY 1, 2),
+    ranked AS (SELECT f, v, (rank() OVER (PARTITION BY f ORDER BY total) + (count(*) OVER (PARTITION BY f, total) - 1) / 2.0) / count(*) OVER (PARTITION BY f) AS rank FROM total),
+    kept AS (SELECT f, v FROM ranked WHERE f IN ('l_returnflag', 'sparse is present') AND rank >= 0.7 UNION ALL SELECT f, CAST(i AS VARCHAR) FROM (VALUES ('l_quantity'), ('l_extendedprice')) t(f), range(10) r(i) UNION ALL SELECT DISTINCT f, CAST(NULL AS VARCHAR) FROM cells),
+    there AS (SELECT f, part, sum(n) AS n FROM counts GROUP BY 1, 2),
+    shares AS (SELECT k.f, t.part, k.v, coalesce(c.n, 0) / t.n AS share FROM kept k JOIN there t ON t.f = k.f LEFT JOIN counts c ON c.f = k.f AND c.part = t.part AND c.v IS NOT DISTINCT FROM k.v),
+    lows AS (SELECT f, part, coalesce(min(share) FILTER (share > 0), 1e-4) AS least FROM shares GROUP BY 1, 2),
+    filled AS (SELECT f, part, v, CASE WHEN share > 0 THEN share WHEN least <= 1e-4 THEN 1e-4 ELSE least / 1e6 END AS share FROM shares JOIN lows USING (f, part)),
+    psi AS (SELECT a.f, a.part, sum((b.share - a.share) * ln(b.share / a.share)) AS psi FROM filled a JOIN filled b ON b.part = 0 AND a.part > 0 AND b.f = a.f AND b.v IS NOT DISTINCT FROM a.v GROUP BY 1, 2)
+    SELECT f AS feature, round(max(psi), 6) + 0.0 AS psi FROM psi GROUP BY 1""")
 def _feature_psi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("sparse", F.when(F.col("l_linenumber") > 2, F.col("l_tax")))
-    found = stability.feature_psi(rows, ["l_quantity", "l_extendedprice", "l_returnflag"], "l_shipdate", ["l_returnflag"])
-    sparse = stability.sparsity_psi(rows, ["sparse", "l_tax"], "l_shipdate")
-    return rounded(spark.createDataFrame([*found.items(), *((f"{k} is present", v) for k, v in sparse.items())], "feature string, psi double"))
+    sparse = stability.with_nulls(rows, ["sparse", "l_tax"])
+    found = stability.feature_psi(rows, ["l_quantity", "l_extendedprice", "l_returnflag"], "l_shipdate", ["l_returnflag"], presence=sparse)
+    return rounded(spark.createDataFrame(list(found.items()), "feature string, psi double"))
 
 
 @query("spearman", """

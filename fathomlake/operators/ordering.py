@@ -7,9 +7,12 @@ ranges are few and are summed in order; within a range a window does the rest.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import accumulate
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from .names import free
 
 #: Rows that one task orders, about; ranges at most, which are longer then.
 RANGE_ROWS, MOST_RANGES = 1_000_000, 4096
+#: Rows of counts that the driver takes, at most.
+FEW = 50_000
 
 
 def _reached(key: Column, cuts: Sequence[object]) -> Column:
@@ -71,16 +76,41 @@ def average_ranks(df: DataFrame, column: str, rank: str, rows: int = RANGE_ROWS)
     return sums_before(counts, column, ["_c"], rows).select(column, (F.col("_c_before") + (F.col("_c") + 1) / 2.0).alias(rank))
 
 
+def _of_counts(counts: Sequence[tuple[float, int]], shares: Sequence[float]) -> list[float]:
+    """Interpolated quantiles of rising values and how often each occurs."""
+    if not counts:
+        return []
+    ends = list(accumulate(c for _, c in counts))
+    at = lambda i: counts[bisect_right(ends, i)][0]
+    places = [(ends[-1] - 1) * s for s in shares]
+    return [at(math.floor(x)) + (at(math.ceil(x)) - at(math.floor(x))) * (x - math.floor(x)) for x in places]
+
+
 def quantiles(df: DataFrame, column: Column, shares: Sequence[float], rows: int = RANGE_ROWS) -> list[float]:
     """Exact quantiles, interpolated, of a numeric column; empty without a value. No task holds all values."""
-    counts = df.filter(column.isNotNull()).groupBy(column.alias("_v")).agg(F.count("*").alias("_c"))
-    placed = sums_before(counts, "_v", ["_c"], rows)
-    n = placed.agg(F.sum("_c")).first()[0]
-    if not n:
-        return []
-    at = [(n - 1) * s for s in shares]
-    wanted = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
-    hit = F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("_c_before")) & (w < F.col("_c_before") + F.col("_c")))
-    found = placed.filter(hit).collect()
-    value = {w: float(r["_v"]) for r in found for w in wanted if r["_c_before"] <= w < r["_c_before"] + r["_c"]}
-    return [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    return quantiles_of_values(df, column, shares, rows)[1]
+
+
+def quantiles_of_values(df: DataFrame, column: Column, shares: Sequence[float], rows: int = RANGE_ROWS) -> tuple[int, list[float]]:
+    """The number of distinct values, and exact quantiles as ``quantiles`` gives them.
+
+    Up to ``FEW`` distinct values are counted by the driver. More are counted once where they are; the counts are
+    kept on the executors' disks meanwhile, and computed again where one is lost.
+    """
+    counts = df.filter(column.isNotNull()).groupBy(column.alias("_v")).agg(F.count("*").alias("_c")).persist(StorageLevel.DISK_ONLY)
+    try:
+        few = counts.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            return len(few), _of_counts(sorted((float(r["_v"]), r["_c"]) for r in few), shares)
+        placed = sums_before(counts, "_v", ["_c"], rows)
+        values, n = counts.agg(F.count("*"), F.sum("_c")).first()
+        if not n:
+            return 0, []
+        at = [(n - 1) * s for s in shares]
+        wanted = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
+        hit = F.exists(F.array(*[F.lit(w) for w in wanted]), lambda w: (w >= F.col("_c_before")) & (w < F.col("_c_before") + F.col("_c")))
+        found = placed.filter(hit).collect()
+        value = {w: float(r["_v"]) for r in found for w in wanted if r["_c_before"] <= w < r["_c_before"] + r["_c"]}
+        return values, [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in at]
+    finally:
+        counts.unpersist()

@@ -102,3 +102,20 @@ def test_empty_tables(spark):
     assert evaluation.score(empty, "mae", "y", "p") is None and evaluation.score(empty, "gini", "y", "p") is None
     assert ordering.numbered(empty, [F.col("id")], "n").count() == 0 and cleaning.record_ids(empty, ["y"], segment="y", row_id="id").count() == 0
     assert enrichment.range_join(empty, empty.select(F.col("y").alias("b"), F.col("y").alias("e")), "id", "b", "e", width=3).count() == 0
+
+
+def test_stability_and_quantiles_of_many_values(spark, monkeypatch):
+    """What the driver computes of few counts, and the executors of many, is the same."""
+    from fathomlake.operators import stability
+
+    r = random.Random(8)
+    rows = [(i, r.choice([None, r.random() * (1 + i / 900)]), r.choice(["a", "b", "b", "c", None]) if i < 700 else r.choice("bcd"), r.choice([None, 1])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, x double, c string, s int").withColumn("day", F.timestamp_seconds(F.col("i") * 86400))
+    few = stability.feature_psi(df, ["x", "c"], "day", ["c"], presence=["s"])
+    shares = [0.0, 0.13, 0.5, 1.0]
+    quantiles = ordering.quantiles(df, F.col("x"), shares)
+    monkeypatch.setattr(ordering, "FEW", 3)
+    monkeypatch.setattr(stability, "FEW", 3)
+    many = stability.feature_psi(df, ["x", "c"], "day", ["c"], presence=["s"])
+    assert set(few) == {"x", "c", "s is present"} and few == pytest.approx(many) and all(v > 0 for v in few.values())
+    assert quantiles == pytest.approx(ordering.quantiles(df, F.col("x"), shares)) and ordering.quantiles(df.filter("false"), F.col("x"), shares) == []
