@@ -21,7 +21,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from .tokencount import PATTERN, RANKS, load_ranks
 
-#: Characters of a secret at least; of one that is cut by ``_`` or ``-``; of a plain word, which has a lower ratio to stay below if it is shorter than that of separated ones.
+#: Characters of a secret at least; of one that is cut by ``_`` or ``-``; of a plain word; the ratio that plain words must stay below unless a credential's name introduces them.
 LEAST, LEAST_CUT, LEAST_WORD, WORD_RATIO = 12, 16, 15, 2.0
 _KEY = r"A-Za-z0-9_+/=.\-!@#$%^&*~"
 #: A run of key characters, which is cut into candidates.
@@ -52,14 +52,15 @@ def is_known(candidate: str, before: str) -> bool:
     return bool(_DIGEST.fullmatch(core)) and not _CREDENTIAL.search(before)
 
 
-def limit_of(candidate: str, least_ratio: float) -> float:
+def limit_of(candidate: str, before: str, least_ratio: float) -> float:
     """The ratio that a candidate must stay below; 0 if it is too short to tell.
 
     Up to 14 lower-case letters, and words joined by signs of fewer than 16 characters, have the ratio
-    of random strings too often.
+    of random strings too often; so have longer words between 2.0 and 2.2, unless a credential's name introduces them.
     """
     if _WORD.fullmatch(candidate):
-        return 0 if len(candidate) < LEAST_WORD else least_ratio if len(candidate) >= LEAST_CUT else min(WORD_RATIO, least_ratio)
+        named = len(candidate) >= LEAST_CUT and _CREDENTIAL.search(before)
+        return 0 if len(candidate) < LEAST_WORD else least_ratio if named else min(WORD_RATIO, least_ratio)
     return 0 if len(candidate) < (LEAST_CUT if "_" in candidate or "-" in candidate else LEAST) else least_ratio
 
 
@@ -79,7 +80,7 @@ def secrets(text: str, begin: int, end: int, ratio: Callable[[str], float], leas
         # A word with an accented letter is no run of key characters by itself.
         if i and _ACCENTED.match(text[i - 1]) or j < len(text) and _ACCENTED.match(text[j]):
             return False
-        limit = limit_of(text[i:j], least_ratio)
+        limit = limit_of(text[i:j], text[max(0, i - 48) : i], least_ratio)
         return limit > 0 and not known(i, j) and ratio(text[i:j]) < limit
 
     end = begin + len(text[begin:end].rstrip(_EDGE))
