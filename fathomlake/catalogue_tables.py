@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .catalogue import _DAILY, _LINE, _daily, _event, _series, _shipped, _W7, formula, query, rounded, table
 from .functions import keys as keyfn
 from .operators import cleaning, enrichment, evaluation, ordering, sampling, stability, targets, timelines
+from .plans.compiler import features
 from .plans.formula import parse
+from .plans.operator import Operator, find
 from .sources import files
 from .sources.registry import Enricher, Registry, Source, select_features, with_literals
 from .streaming import stream_features, windowed
@@ -32,18 +34,53 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 # Formulas
 
-_TEXTS = ["(l_quantity/l_tax)", "abs((a-b))", "GroupByThenMin(f2,f1)", "roll_3D_mean_offset_1D(d,k,v)", "date_diff_Y_18_23_count(a,b)", "mean(a,b,c)", "cross_add(d,k,v)", "lag_2D(d,v)"]
-_NAMES = [
-    ("(a+b)", "f_a_f_b_autofe_+"), ("abs((a/b))", "f_a_f_b_autofe_div_abs"), ("GroupByThenMin(f2,f1)", "f_f2_f_f1_autofe_groupbythenmin"), ("mean(a,b,c)", "f_a_f_b_f_c_autofe_mean"),
+_FORMULAS = [
+    ("(a+b)", "+", "a,b", "f_a_f_b_autofe_add"), ("abs((a/b))", "abs", "a,b", "f_a_f_b_autofe_div_abs"), ("GroupByThenMin(f2,f1)", "GroupByThenMin", "f2,f1", "f_f2_f_f1_autofe_groupbythenmin"),
+    ("mean(a,b,c)", "mean", "a,b,c", "f_a_f_b_f_c_autofe_mean"), ("roll_3D_mean_offset_1D(d,k,v)", "roll_3D_mean_offset_1D", "d,k,v", "f_d_f_k_f_v_autofe_roll_3d_mean_offset_1d"),
+    ("date_diff_Y_18_23_count(a,b)", "date_diff_Y_18_23_count", "a,b", "f_a_f_b_autofe_date_diff_y_18_23_count"), ("lag_1D(d,roll_3D_mean(d,v))", "lag_1D", "d,v", "f_d_f_v_autofe_roll_3d_mean_lag_1d"),
 ]
 
 
-@query("formula_round_trip", _values([(t, t, len(t.split("(")[-1].split(","))) for t in _TEXTS if not t.startswith("(")], "formula, printed, operands"))
-def _round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formulas read and printed, with the number of operands of the innermost one."""
-    nodes = [(t, parse(t)) for t in _TEXTS if not t.startswith("(")]
-    innermost = lambda n: next((innermost(o) for o in n.operands if hasattr(o, "operands")), len(n.operands)) if "(" in n.formula() and not n.formula().startswith("abs") else 1
-    return spark.createDataFrame([(t, n.formula(), innermost(n)) for t, n in nodes], "formula string, printed string, operands int")
+@query("formula_names", _values([(f, f, *rest) for f, *rest in _FORMULAS], "formula, printed, operator, columns, display"))
+def _formula_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas read and printed; their operators, columns and display names."""
+    nodes = [(f, parse(f)) for f, *_ in _FORMULAS]
+    return spark.createDataFrame([(f, n.formula(), n.op.formula(), ",".join(dict.fromkeys(n.columns())), n.display_name()) for f, n in nodes], "formula string, printed string, operator string, columns string, display string")
+
+
+@query("formula_hash", "SELECT '(a/b)' AS formula, left(sha256('/_a_b'), 10) AS hash UNION ALL SELECT '(b/a)', left(sha256('/_b_a'), 10)")
+def _formula_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(f, parse(f).digest()) for f in ("(a/b)", "(b/a)")], "formula string, hash string")
+
+
+_OPERATORS = [("add", "+"), ("freq", "freq"), ("GroupByThenMin", "GroupByThenMin"), ("date_diff_Y_18_23_count", "date_diff_Y_18_23_count"), ("roll_3d_mean", "roll_3d_mean"), ("nothing", None)]
+
+
+@query("registry_lookup", _values(_OPERATORS, "name, operator"))
+def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(name, find(name)) for name, _ in _OPERATORS]
+    return spark.createDataFrame([(name, op and op.formula()) for name, op in found], "name string, operator string")
+
+
+@query("formula_params", "SELECT p_partkey, CASE WHEN p_size >= 25 THEN 2 WHEN p_size >= 10 THEN 1 ELSE -1 END AS value FROM part")
+def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters given as texts, read back from an operator and set on another one."""
+    first = parse("bin(p_size)").set_params({"bin_bounds": "[10, 25]"})
+    return features(table(spark, sf_dir, "part"), {"value": parse("bin(p_size)").set_params(first.get_params())}, keep=["p_partkey"])
+
+
+@query("user_operator", "SELECT p_partkey, CAST(p_size * p_size * p_size AS DOUBLE) AS value FROM part")
+def _user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator that a user adds by a subclass with a name."""
+    if find("cube") is None:
+
+        class Cube(Operator):
+            name, kind = "cube", "unary"
+
+            def column(self, x):  # noqa: ANN001, ANN202
+                return F.pow(x.cast("double"), F.lit(3.0))
+
+    return features(table(spark, sf_dir, "part"), {"value": "cube(p_size)"}, keep=["p_partkey"])
 
 
 for _op, _sql in {"Prod": "product(1 + l_tax)", "Sem": "stddev_samp(1 + l_tax) / sqrt(count(*))", "Skew": "CASE WHEN count(*) < 3 THEN NULL WHEN max(l_tax) = min(l_tax) THEN 0.0 ELSE skewness(1 + l_tax) END + 0.0"}.items():
