@@ -13,7 +13,7 @@ from .functions import keys as keyfn
 from .operators import cleaning, enrichment, evaluation, ordering, sampling, stability, targets, timelines
 from .plans.compiler import features
 from .plans.formula import parse
-from .plans.operator import Operator, find
+from .plans.operator import Operator, find, unregister
 from .sources import files
 from .sources.registry import Enricher, Registry, Source, select_features, with_literals
 from .streaming import stream_features, windowed
@@ -71,16 +71,17 @@ def _params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("user_operator", "SELECT p_partkey, CAST(p_size * p_size * p_size AS DOUBLE) AS value FROM part")
 def _user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An operator that a user adds by a subclass with a name."""
-    if find("cube") is None:
+    """An operator that a user adds by a subclass with a name, and takes back."""
 
-        class Cube(Operator):
-            name, kind = "cube", "unary"
+    class Cube(Operator):
+        name, kind = "cube", "unary"
 
-            def column(self, x):  # noqa: ANN001, ANN202
-                return F.pow(x.cast("double"), F.lit(3.0))
+        def column(self, x):  # noqa: ANN001, ANN202
+            return F.pow(x.cast("double"), F.lit(3.0))
 
-    return features(table(spark, sf_dir, "part"), {"value": "cube(p_size)"}, keep=["p_partkey"])
+    out = features(table(spark, sf_dir, "part"), {"value": "cube(p_size)"}, keep=["p_partkey"])
+    unregister("cube")
+    return out
 
 
 for _op, _sql in {"Prod": "product(1 + l_tax)", "Sem": "stddev_samp(1 + l_tax) / sqrt(count(*))", "Skew": "CASE WHEN count(*) < 3 THEN NULL WHEN max(l_tax) = min(l_tax) THEN 0.0 ELSE skewness(1 + l_tax) END + 0.0"}.items():
@@ -575,14 +576,18 @@ def _enricher_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("enricher_metrics", f"""
-    WITH c AS (SELECT CAST(n_orders > 15 AS INTEGER) AS y, c_nationkey FROM customer JOIN {_SPENT} ON o_custkey = c_custkey)
+    WITH c AS (SELECT CAST(n_orders > 10 AS INTEGER) AS y, c_nationkey FROM customer JOIN {_SPENT} ON o_custkey = c_custkey)
     SELECT 'train' AS segment, count(*) AS rows, round(avg(y), 6) AS mean_target, 1.0 AS enriched FROM c UNION ALL SELECT 'abroad', count(*), round(avg(y), 6), 1.0 FROM c WHERE c_nationkey >= 12""")
 def _enricher_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores without and with a source that tells the target, of all customers and of an evaluation table."""
     from pyspark.ml.classification import DecisionTreeClassifier
 
+    busy = _spending(spark, sf_dir).select("address", F.when(F.col("n_orders") > 10, "busy").otherwise("calm").alias("kind"))
+    registry = Registry()
+    registry.register(Source("busy", busy, {"address": "email"}), 1)
     mail = F.concat(F.lit("USER"), F.col("c_custkey"), F.lit("@Mail.Example.com")).alias("email")
-    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") > 15).cast("int").alias("y"))
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.count("*") > 10).cast("int").alias("y"))
     people = table(spark, sf_dir, "customer").join(n, "c_custkey").select(F.col("c_custkey").alias("row_id"), mail, "c_acctbal", "c_nationkey", "y")
-    got = _enricher(spark, sf_dir, {"email": "email"}).calculate_metrics(people.drop("c_nationkey"), "y", {"abroad": people.filter("c_nationkey >= 12").drop("c_nationkey")}, folds=2, estimator=DecisionTreeClassifier())
+    enricher = Enricher(registry, {"email": "email"}, detect_keys=False)
+    got = enricher.calculate_metrics(people.drop("c_nationkey"), "y", {"abroad": people.filter("c_nationkey >= 12").drop("c_nationkey")}, folds=2, estimator=DecisionTreeClassifier())
     return rounded(got.select("segment", "rows", "mean_target", "enriched"))

@@ -155,5 +155,10 @@ def register(cls: type[Operator], name: str) -> None:
     _NAMED[name] = cls
 
 
+def unregister(name: str) -> None:
+    """Forget a user's operator."""
+    _NAMED.pop(name, None)
+
+
 def known() -> list[type[Operator]]:
     return sorted({*_NAMED.values(), *_PATTERNS}, key=lambda c: c.__name__)
