@@ -6,11 +6,12 @@ import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .ordering import average_ranks, sums_before
+from .ordering import FEW, average_ranks, sums_before
 from .sampling import stratified_folds
 
 
@@ -78,12 +79,19 @@ def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str
 
 
 def roc_auc(df: DataFrame, target: str, prediction: str) -> float:
-    """The area under the curve, exact with ties, from counts by distinct prediction."""
+    """The area under the curve, exact with ties, from counts by distinct prediction; the driver sums up to ``FEW`` of them."""
     by = df.groupBy(F.col(prediction).alias("p")).agg(F.sum(F.col(target).cast("double")).alias("pos"), F.sum(1.0 - F.col(target).cast("double")).alias("neg"))
-    s = sums_before(by, "p", ["neg"]).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    if not s.p or not s.n:
+    few = by.limit(FEW + 1).collect()
+    if len(few) <= FEW:
+        u, pos, neg = 0.0, 0.0, 0.0
+        for r in sorted(few, key=lambda r: (r.p is not None, r.p)):
+            u, pos, neg = u + r.pos * (neg + r.neg / 2), pos + r.pos, neg + r.neg
+    else:
+        s = sums_before(by, "p", ["neg"]).agg(F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+        u, pos, neg = s.u, s.p, s.n
+    if not pos or not neg:
         raise ValueError("roc_auc needs both classes")
-    return s.u / (s.p * s.n)
+    return u / (pos * neg)
 
 
 def default_metric(task: str) -> str:
@@ -118,16 +126,24 @@ def fit_and_score(train: DataFrame, test: DataFrame, features: Sequence[str], ta
     Classes that are texts are numbered in the order of their values. Null features count as their column's mean in ``train``,
     columns without any value there as 0.
     """
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import GBTRegressor
-
     if task != "REGRESSION" and isinstance(train.schema[target].dataType, (StringType, BooleanType)):
         classes = sorted(r[0] for r in train.filter(F.col(target).isNotNull()).select(target).distinct().collect())
         code = F.array_position(F.array(*map(F.lit, classes)), F.col(target)) - 1
         train, test = train.withColumn(target, code.cast("double")), test.withColumn(target, code.cast("double"))
     (a, names), (b, _) = _numbers(train, train, features, target), _numbers(test, train, features, target)
+    a = a.persist(StorageLevel.MEMORY_AND_DISK)  # read by the imputer and at each level of a tree
+    try:
+        return _fitted(a, b, names, task, metric, estimator)
+    finally:
+        a.unpersist()
+
+
+def _fitted(a: DataFrame, b: DataFrame, names: list[str], task: str, metric: str | Callable[[DataFrame], float], estimator: object | None) -> tuple[float | None, list[float]]:
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor
+
     filled = a.agg(*[F.count(n).alias(n) for n in names]).first()
     empty = [n for n in names if not filled[n]]
     a, b = a.fillna(0.0, empty) if empty else a, b.fillna(0.0, empty) if empty else b

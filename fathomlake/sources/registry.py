@@ -11,6 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -264,8 +265,9 @@ class Enricher:
         own = [c for c in df.columns if c not in apart and c not in self.dropped and c not in self._repeated(df)]
         groups = {c for cs in self.one_hot.values() for c in cs}
         sets = {"train": clean} | dict(evaluations or {})
-        before = {n: d.select(row_id, target, *own) for n, d in sets.items()}
-        after = {n: self.transform(d, row_id) for n, d in sets.items()}
+        # Models read their rows many times.
+        before = {n: d.select(row_id, target, *own).persist(StorageLevel.MEMORY_AND_DISK) for n, d in sets.items()}
+        after = {n: self.transform(d, row_id).persist(StorageLevel.MEMORY_AND_DISK) for n, d in sets.items()}
         new = [c for c in after["train"].columns if c not in df.columns and c not in self.one_hot]
         all_ = [c for c in own if c not in groups] + [p for p in self.one_hot] + new
         spark, out = df.sparkSession, []
@@ -284,6 +286,8 @@ class Enricher:
             base, rich = scores
             gain = evaluation.uplift(base, rich, metric) if base is not None and rich is not None else {"uplift": None, "uplift_percent": None}
             out.append((name, size.n, size.m, metric, base, rich, gain["uplift"], gain["uplift_percent"]))
+        for kept in (*before.values(), *after.values()):
+            kept.unpersist()
         return spark.createDataFrame(out, "segment string, rows long, mean_target double, metric string, baseline double, enriched double, uplift double, uplift_percent double")
 
 
