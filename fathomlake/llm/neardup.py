@@ -167,6 +167,9 @@ def _edges(sketches: DataFrame, least: float) -> DataFrame:
     # Members that the least one of their bucket is unlike. With two members there is no more to compare.
     left = members.filter("n > 2").join(verified.filter("not linked").select(F.col("a").alias("lo"), F.col("b").alias("node")), ["lo", "node"])
     left = cut(left.select("band", "n", "node"))
+    most = left.agg(F.max("n")).first()[0]
+    if most is None:
+        return stars
     unclear = left.groupBy("band").agg(F.count("*").alias("rest"))
     full = members.join(unclear, "band").join(nodes, "node")
     small = full.filter(F.col("n") <= BLOCK).groupBy("band").agg(F.collect_list("node").alias("nodes"), F.collect_list("sig").alias("sigs"))
@@ -180,6 +183,10 @@ def _edges(sketches: DataFrame, least: float) -> DataFrame:
                     c.append(nodes[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
+    found = stars.union(small.select("nodes", "sigs").mapInArrow(within, "a long, b long"))
+    if most <= BLOCK:
+        return found.filter("a <> b")
+
     # A larger bucket: blocks of the members that are left, each against all blocks of the bucket.
     large = full.filter(F.col("n") > BLOCK).join(left.select("band", "node", F.lit(True).alias("alone")), ["band", "node"], "left")
 
@@ -200,8 +207,7 @@ def _edges(sketches: DataFrame, least: float) -> DataFrame:
                     c.append(others[j].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    found = small.select("nodes", "sigs").mapInArrow(within, "a long, b long")
-    return stars.union(found).union(both.select("a", "sa", "b", "sb", "alone").mapInArrow(between, "a long, b long")).filter("a <> b")
+    return found.union(both.select("a", "sa", "b", "sb", "alone").mapInArrow(between, "a long, b long")).filter("a <> b")
 
 
 def link_to(rest: np.ndarray, block: np.ndarray, alone: np.ndarray, least: float) -> list[tuple[int, int]]:
