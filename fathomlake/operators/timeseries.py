@@ -133,18 +133,14 @@ class TimeSeries(Operator):
         raise NotImplementedError
 
 
-def _sample_skew(n: Column, s1: Column, s2: Column, s3: Column) -> Column:
-    m = s1 / n
-    var = s2 / n - m * m
-    third = s3 / n - F.lit(3.0) * m * s2 / n + F.lit(2.0) * m * m * m
-    return F.when((n > 2) & (var > 1e-14), third / F.pow(var, F.lit(1.5)) * F.sqrt(n * (n - 1)) / (n - 2))
+def _sample_skew(n: Column, var: Column, skew: Column) -> Column:
+    """Of a population's skewness, null where it does not vary."""
+    return F.when((n > 2) & (var > 1e-14), skew * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-def _sample_kurt(n: Column, s1: Column, s2: Column, s3: Column, s4: Column) -> Column:
-    m = s1 / n
-    var = s2 / n - m * m
-    fourth = s4 / n - 4.0 * m * s3 / n + 6.0 * m * m * s2 / n - 3.0 * m * m * m * m
-    return F.when((n > 3) & (var > 1e-14), ((n * n - 1.0) * fourth / (var * var) - 3.0 * (n - 1) * (n - 1)) / ((n - 2) * (n - 3)))
+def _sample_kurt(n: Column, var: Column, kurt: Column) -> Column:
+    """Of a population's excess kurtosis."""
+    return F.when((n > 3) & (var > 1e-14), ((n * n - 1.0) * (kurt + 3.0) - 3.0 * (n - 1) * (n - 1)) / ((n - 2) * (n - 3)))
 
 
 class Roll(TimeSeries):
@@ -162,14 +158,15 @@ class Roll(TimeSeries):
     def result(self, s: Series) -> Column:
         w, v = s.trailing(micros(self.window_size, self.window_unit)), s.v
         over = lambda c: c.over(w)
-        powers = lambda k: [double(over(F.count(v))), *(over(F.sum(F.pow(v, F.lit(float(i))))) for i in range(1, k + 1))]
+        # Moments about the mean: differences of sums of powers lose the digits of values that are far from 0.
+        moments = lambda f: (double(over(F.count(v))), over(F.var_pop(v)), over(f(v)))
         q = lambda p: over(F.percentile(v, F.lit(p)))
         kinds = {
             "mean": lambda: over(F.avg(v)), "sum": lambda: over(F.sum(v)), "min": lambda: over(F.min(v)), "max": lambda: over(F.max(v)),
             "count": lambda: F.when(over(F.count(v)) > 0, double(over(F.count(v)))), "std": lambda: over(F.stddev_samp(v)), "var": lambda: over(F.var_samp(v)),
             "sem": lambda: over(F.stddev_samp(v)) / F.sqrt(F.nullif(over(F.count(v)) - 1, F.lit(0))), "median": lambda: q(0.5), "q25": lambda: q(0.25), "q75": lambda: q(0.75),
             "iqr": lambda: q(0.75) - q(0.25), "norm_mean": lambda: F.try_divide(s.own(), over(F.avg(v))),
-            "skew": lambda: _sample_skew(*powers(3)), "kurt": lambda: _sample_kurt(*powers(4)),
+            "skew": lambda: _sample_skew(*moments(F.skewness)), "kurt": lambda: _sample_kurt(*moments(F.kurtosis)),
         }
         if self.aggregation not in kinds:
             raise ValueError(f"{self.aggregation} of a window is not known; {sorted(kinds)} are")

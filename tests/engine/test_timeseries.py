@@ -38,6 +38,15 @@ def test_roll_equals_pandas(spark, agg, window):
     close(compute(spark, f"roll_{window}D_{agg}(d,v)", D, data), [None if np.isnan(x) else x for x in want])
 
 
+@pytest.mark.parametrize("agg", ["skew", "kurt"])
+def test_roll_of_values_far_from_zero(spark, agg):
+    near = [3.0, 1.0, 4.0, 1.5, 9.0, 2.5, 6.0, 5.0]
+    got = [compute(spark, f"roll_5D_{agg}(d,v)", D, [(f"2024-05-0{i}", v + far) for i, v in enumerate(near, 1)]) for far in (0.0, 1e6)]
+    close(got[1], got[0])
+    assert got[0][-1] is not None
+    close(compute(spark, f"roll_5D_{agg}(d,v)", D, [(f"2024-05-0{i}", 7.0) for i in range(1, 9)]), [None] * 8)
+
+
 def test_lag(spark):
     data = [(f"2024-05-0{i}", float(i - 5)) for i in range(6, 10)]
     close(compute(spark, "lag_1D(d,v)", D, data), [None, 1, 2, 3])
