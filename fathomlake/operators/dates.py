@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -85,14 +86,18 @@ def _mean(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; a column that is named several times, or in a lambda, is computed each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spread(x: Column) -> Column:
-    m = _mean(x)
-    return _mean(F.transform(x, lambda v: (v - m) * (v - m)))
+    return once(_mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - m) * (v - m)) / F.size(x))
 
 
 def _median(x: Column) -> Column:
-    s, n = F.array_sort(x), F.size(x)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+    n = F.size(x)
+    return once(F.array_sort(x), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
 
 
 _LIST_STATISTICS = {
@@ -115,6 +120,9 @@ class DateListDiff(DateOperator):
     defaults = {**DateOperator.defaults, "aggregation": None, "replace_negative": False}
     types = {"aggregation": str}
 
+    def clean(self, c: Column) -> Column:
+        return once(c, super().clean)
+
     def kept(self, days: Column) -> Column:
         return F.filter(days, lambda d: d > 0) if self.replace_negative else days
 
@@ -127,8 +135,8 @@ class DateListDiff(DateOperator):
 
     def difference(self, left: Column, right: Column, kind: DataType) -> Column:
         inner = kind.elementType if isinstance(kind, ArrayType) else kind
-        days = F.transform(right, lambda d: self.in_unit(days_between(left, to_timestamp(d, inner, self.right_unit))))
-        value = F.when(left.isNotNull() & right.isNotNull(), self.statistic(self.kept(days)))
+        days = once(left, lambda at: F.transform(right, lambda d: self.in_unit(days_between(at, to_timestamp(d, inner, self.right_unit)))))
+        value = F.when(left.isNotNull() & right.isNotNull(), once(self.kept(days), self.statistic))
         return F.when(F.size(right) == 0, F.lit(0.0)).otherwise(value) if self.aggregation in _COUNTS else value
 
 
@@ -153,7 +161,7 @@ class DateListDiffBounded(DateListDiff):
     def statistic(self, days: Column) -> Column:
         low = float("-inf") if self.lower_bound is None else float(self.lower_bound)
         high = float("inf") if self.upper_bound is None else float(self.upper_bound)
-        value = super().statistic(F.filter(days, lambda d: (d >= F.lit(low)) & (d < F.lit(high))))
+        value = once(F.filter(days, lambda d: (d >= F.lit(low)) & (d < F.lit(high))), super().statistic)
         return F.when(F.size(days) > 0, value / F.size(days)).otherwise(value) if self.normalize else value
 
 

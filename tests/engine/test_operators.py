@@ -163,6 +163,13 @@ def test_date_lists(spark, agg, want):
     close(compute(spark, f"date_diff_{agg}(a,b)", "a string, b array<string>", LISTS), want + more)
 
 
+@pytest.mark.parametrize("agg", ["std", "median", "nunique", "D_0_400_count_norm"])
+def test_differences_of_a_list_are_computed_once(spark, agg):
+    df = spark.createDataFrame([("2024-05-06", ["2024-05-01", "2024-05-03"])], "a string, b array<string>")
+    plan = features(df, {"r": f"date_diff_{agg}(a,b)"})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(b#") == 1
+
+
 def test_bounded_date_lists(spark):
     lists = ("20131210 20131211 19991211", "20131210 20031211 19991211 19931211 19831211 19731211 19591211", "20031210 20031210", "20231010 19931210", "20231010 19931210", "")
     data = [("1022-10-10" if i == 4 else NOW, days(d)) for i, d in enumerate(lists)]
