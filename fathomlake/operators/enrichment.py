@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DatetimeType, NumericType
 
 from ..functions.keys import key_combinations
 from .names import free
@@ -80,6 +81,46 @@ def range_join(df: DataFrame, ranges: DataFrame, key: str, begin: str, end: str,
     return hits.unionByName(df.join(met, F.col(key) == F.col(n), "left_anti"), allowMissingColumns=True)
 
 
+def comparable(*kinds: DataType) -> bool:
+    """Whether columns of these types are ordered together: numbers, or all of one type."""
+    return all(isinstance(k, NumericType) for k in kinds) or len(set(kinds)) == 1
+
+
+def first_range(df: DataFrame, ranges: DataFrame, key: str, begin: str, end: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` with the other columns of the first range, by its begin, end and these, that holds its key, both ends included.
+
+    Null keys and ranges match nothing; without a match the columns are null. No pairs are formed, however much ranges
+    overlap: a range is the first one only for keys above the ends of all ranges before it. Ranges that end below
+    that never are; of the rest, each key belongs to the one with the next end, which may still begin above it.
+    """
+    values = [c for c in ranges.columns if c not in (begin, end)]
+    lo, hi, v, top, at, k, piece, upcoming, r = free(df, ranges, wanted="_lo _hi _v _top _at _k _piece _upcoming _range")
+    past = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def parted(d: DataFrame, by: str) -> tuple[DataFrame, bool]:
+        many = isinstance(d.schema[by].dataType, (NumericType, DatetimeType)) and d.count() > rows
+        return (ranged(d, F.col(by), r, rows) if many else d.withColumn(r, F.lit(0))), many
+
+    known = ranges.filter(F.col(begin) <= F.col(end)).groupBy(F.col(begin).alias(lo), F.col(end).alias(hi)).agg(F.min(F.struct(*values)).alias(v))
+    parts, many = parted(known, lo)
+    pieces = parts.withColumn(top, F.max(hi).over(past(Window.partitionBy(r).orderBy(lo, hi))))
+    if many:
+        tops = parts.groupBy(r).agg(F.max(hi).alias(upcoming)).withColumn(upcoming, F.max(upcoming).over(past(Window.orderBy(r))))  # a row for each range of begins
+        pieces = pieces.join(F.broadcast(tops), r).withColumn(top, F.greatest(top, upcoming))
+    pieces = pieces.filter(F.col(top).isNull() | (F.col(hi) > F.col(top))).select(F.col(hi).alias(at), F.struct(lo, v).alias(piece))
+    probes = df.filter(F.col(key).isNotNull()).select(F.col(key).alias(k)).distinct()
+    both, many = parted(pieces.unionByName(probes.select(F.col(k).alias(at), k), allowMissingColumns=True), at)
+    # Backwards, so that the last piece seen has the next end; a piece comes before a key at its end.
+    back = Window.partitionBy(r).orderBy(F.col(at).desc(), F.col(k).isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn(piece, F.last(piece, ignorenulls=True).over(back)).filter(F.col(k).isNotNull())
+    if many:
+        least = F.min_by(piece, F.when(F.col(piece).isNotNull(), F.col(at)))
+        ends = both.groupBy(r).agg(least.alias(upcoming)).withColumn(upcoming, F.last(upcoming, ignorenulls=True).over(past(Window.orderBy(F.col(r).desc()))))
+        found = found.join(F.broadcast(ends), r).withColumn(piece, F.coalesce(piece, upcoming))
+    found = found.filter(F.col(piece)[lo] <= F.col(k)).select(k, piece)
+    return df.join(found, F.col(key) == F.col(k), "left").select(*df.columns, *[F.col(piece)[v][c].alias(c) for c in values])
+
+
 def _last_before(df: DataFrame, source: DataFrame, on: Sequence[str], at: str, snapshot: str, found: str, forward: bool, rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with ``found``, (time, row) of the source's last snapshot of its keys up to the time ``at``, or the first from then on.
 

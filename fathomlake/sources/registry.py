@@ -210,6 +210,8 @@ class Enricher:
             rows, extra = rows.withColumn(date, F.lit(self.today or datetime.date.today())), [*extra, date]
         for kind, (begin, end) in source.ranges.items():
             if kind in mine:
+                if enrichment.comparable(rows.schema[mine[kind][0]].dataType, table.schema[begin].dataType, table.schema[end].dataType):
+                    return enrichment.first_range(rows, table.select(begin, end, *values, hit), mine[kind][0], begin, end).select(*df.columns, *values, hit)
                 met = enrichment.range_join(rows.select(row_id, mine[kind][0]), table, mine[kind][0], begin, end, source.range_width, "inner")
                 one = met.groupBy(row_id).agg(F.min(F.struct(begin, end, *values, hit)).alias(k))
                 return df.join(one, row_id, "left").select(*df.columns, *[F.col(k)[v].alias(v) for v in [*values, hit]])

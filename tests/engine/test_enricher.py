@@ -66,6 +66,28 @@ def test_overlapping_ranges_do_not_multiply_rows(spark):
         assert {r.row_id: r.f for r in out.collect()} == {1: 1.0, 2: 2.0, 3: None} and out.count() == 3
 
 
+def test_first_of_many_overlapping_ranges_without_pairs(spark):
+    ranges = spark.createDataFrame([(i % 50, i % 50 + 100 + i % 7, float(i)) for i in range(1000)] + [(None, 5, -1.0), (9, 3, -2.0)], "a int, b int, f double")
+    df = spark.createDataFrame([(i, i % 170 if i % 9 else None) for i in range(600)], "row_id int, k int")
+    out = Enricher(registry(Source("s", ranges, {}, ranges={"custom_key": ("a", "b")}, range_width=10)), {"k": "custom_key"}, detect_keys=False).transform(df)
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted((r.a, r.b, r.f) for r in ranges.filter("a <= b").collect())
+    first = lambda k: None if k is None else next((f for a, b, f in rows if a <= k <= b), None)
+    assert {r.row_id: r.f for r in out.collect()} == {r.row_id: first(r.k) for r in df.collect()} and out.count() == 600
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "timestamp", "string"])
+def test_first_range_in_parts(spark, kind):
+    cast = lambda c: F.lpad(c.cast("string"), 5, "0") if kind == "string" else F.timestamp_seconds(c) if kind == "timestamp" else c.cast(kind)
+    wide = spark.range(300).select((F.col("id") * 37 % 900).alias("a"), (F.col("id") * 37 % 900 + F.col("id") * F.col("id") % 61).alias("b"), "id")
+    keys = spark.range(1000).select(F.col("id").alias("row"), (F.col("id") * 13 % 1100).alias("k"))
+    want = {r.row: r.first.id if r.first else None for r in keys.join(wide, F.expr("k between a and b"), "left").groupBy("row").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("a", "b", "id"))).alias("first")).collect()}
+    assert None in want.values() and len(set(want.values())) > 50
+    for rows in (20, 10**6):
+        got = enrichment.first_range(keys.withColumn("k", cast(F.col("k"))), wide.withColumns({"a": cast(F.col("a")), "b": cast(F.col("b"))}), "k", "a", "b", rows)
+        assert {r.row: r.id for r in got.collect()} == want
+
+
 def test_progress_warnings_and_out_of_time_sets(people, source):
     told, ids = [], []
     e = Enricher(registry(Source("s", source, {"mail": "email"})), {"email": "email"}, detect_keys=False, on_progress=lambda s, p: told.append((s, p)), search_id="abc")
