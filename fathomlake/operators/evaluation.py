@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .ordering import FEW, average_ranks, sums_before
+from .ordering import FEW, average_ranks, quantiles, sums_before
 from .sampling import stratified_folds
 
 
@@ -41,7 +41,7 @@ def _rest(t: Column, p: Column) -> dict[str, Column]:
     err = p - t
     q = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
     return {
-        "max_error": F.max(F.abs(err)), "median_absolute_error": F.percentile(F.abs(err), F.lit(0.5)), "explained_variance": F.lit(1.0) - F.try_divide(F.var_pop(err), F.var_pop(t)),
+        "max_error": F.max(F.abs(err)), "explained_variance": F.lit(1.0) - F.try_divide(F.var_pop(err), F.var_pop(t)),
         "log_loss": -F.avg(t * F.ln(q) + (1 - t) * F.ln(1 - q)), "brier_score": F.avg(err * err),
     }
 
@@ -62,7 +62,7 @@ def metric_name(name: str) -> str:
 
 
 def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str, prediction: str) -> float | None:
-    """A score of predictions; a callable gets the table. None for an empty table."""
+    """A score of predictions; a callable gets the table. None for an empty table, and for a median without any value."""
     if not df.take(1):
         return None
     if callable(metric):
@@ -72,9 +72,11 @@ def score(df: DataFrame, metric: str | Callable[[DataFrame], float], target: str
         auc = roc_auc(df, target, prediction)
         return 2 * auc - 1 if metric == "gini" else auc
     t, p = F.col(target).cast("double"), F.col(prediction).cast("double")
+    if metric == "median_absolute_error":  # a percentile as an aggregate takes all distinct errors to one task
+        return next(iter(quantiles(df, F.abs(p - t), [0.5])), None)
     columns = _expected(t, p) | _classes(t, p) | _rest(t, p)
     if metric not in columns:
-        raise ValueError(f"{metric} is not a metric; there are {sorted([*columns, 'roc_auc', 'gini'])}")
+        raise ValueError(f"{metric} is not a metric; there are {sorted([*columns, 'median_absolute_error', 'roc_auc', 'gini'])}")
     return float(df.agg(columns[metric]).first()[0])
 
 

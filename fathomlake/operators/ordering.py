@@ -101,7 +101,7 @@ def quantiles_of_values(df: DataFrame, column: Column, shares: Sequence[float],
     try:
         few = counts.limit(FEW + 1).collect()
         if len(few) <= FEW:
-            return len(few), _of_counts(sorted((float(r["_v"]), r["_c"]) for r in few), shares)
+            return len(few), _of_counts(sorted(((float(r["_v"]), r["_c"]) for r in few), key=lambda v: (math.isnan(v[0]), v[0])), shares)  # NaN last, as in Spark
         placed = sums_before(counts, "_v", ["_c"], rows)
         values, n = counts.agg(F.count("*"), F.sum("_c")).first()
         if not n:

@@ -344,6 +344,18 @@ def test_time_structure(spark):
         timelines.tree_loss("binary", "REGRESSION")
 
 
+@pytest.mark.parametrize("few", [5, 50_000])
+def test_median_error_without_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(ordering, "FEW", few)
+    monkeypatch.setattr(F, "percentile", None)
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).cast("double").alias("p"), F.lit(500).alias("t"))
+    want = sorted(abs(i * 7919 % 1009 - 500) for i in range(1000))
+    assert evaluation.score(df, "median_absolute_error", "t", "p") == (want[499] + want[500]) / 2
+    assert evaluation.score(df.withColumn("t", F.lit(None).cast("int")), "median_absolute_error", "t", "p") is None
+    broken = df.withColumn("p", F.when(F.col("p") < 700, F.lit(float("nan"))).otherwise(F.col("p")))
+    assert math.isnan(evaluation.score(broken, "median_absolute_error", "t", "p"))
+
+
 def test_drift_and_column_order(spark):
     rng = np.random.default_rng(2)
     make = lambda shift: spark.createDataFrame([(float(a), float(b + shift), float(a + 0.1 * b)) for a, b in rng.normal(size=(200, 2))], "a double, b double, y double")
