@@ -223,7 +223,8 @@ def _cyclical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Booleans, numbers with decimal commas, long texts and an address in their normal forms."""
     key = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", (key % 2 == 0).alias("flag"), F.concat(key, F.lit(",5")).alias("comma"), F.repeat("c_name", F.lit(1500)).alias("long"), F.concat(F.lit("U"), key, F.lit("@Mail.Example.com")).alias("mail"))
+    c = files.spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")  # a row grows by 24 KB
+    c = c.select("c_custkey", (key % 2 == 0).alias("flag"), F.concat(key, F.lit(",5")).alias("comma"), F.repeat("c_name", F.lit(1500)).alias("long"), F.concat(F.lit("U"), key, F.lit("@Mail.Example.com")).alias("mail"))
     return cleaning.normalize(c, {"mail": "email"})
 
 

@@ -34,3 +34,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd", partition_by: list[str] | None = None, mode: str = "error") -> None:
     writer = df.write.mode(mode).option("compression", compression)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by a hash of ``keys`` in four tasks for each core, however few files or row groups it was read from; for narrow rows that then grow."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)

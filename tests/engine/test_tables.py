@@ -356,6 +356,14 @@ def test_median_error_without_one_task(spark, monkeypatch, few):
     assert math.isnan(evaluation.score(broken, "median_absolute_error", "t", "p"))
 
 
+def test_long_texts_are_made_in_many_tasks(spark):
+    from fathomlake import catalogue, catalogue_tables  # noqa: F401
+
+    out = catalogue.QUERIES["normal_forms"](spark, "/root/testdata/sf0.001")
+    assert spark.read.parquet("/root/testdata/sf0.001/customer.parquet").rdd.getNumPartitions() == 1
+    assert out._jdf.queryExecution().toRdd().getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
 def test_drift_and_column_order(spark):
     rng = np.random.default_rng(2)
     make = lambda shift: spark.createDataFrame([(float(a), float(b + shift), float(a + 0.1 * b)) for a, b in rng.normal(size=(200, 2))], "a double, b double, y double")
