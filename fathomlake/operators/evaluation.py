@@ -204,15 +204,45 @@ def uplift_table(rows: Mapping[str, tuple[DataFrame, float, float]], target: str
     return out
 
 
+def _centred_ranks(rows: DataFrame, column: str, rank: str) -> DataFrame:
+    """``(_v, rank)``: the average rank of each value less the mean of all ranks. To be broadcast, up to ``FEW`` values."""
+    known = rows.filter(F.col(column).isNotNull())
+    few = known.groupBy(column).count().limit(FEW + 1).collect()
+    if len(few) > FEW:
+        return average_ranks(rows, column, rank).select(F.col(column).alias("_v"), (F.col(rank) - F.lit((known.count() + 1) / 2)).alias(rank))
+    table, before, middle = [], 0, (sum(r["count"] for r in few) + 1) / 2
+    for value, n in sorted(tuple(r) for r in few):
+        table.append((value, before + (n + 1) / 2 - middle))
+        before += n
+    return F.broadcast(rows.sparkSession.createDataFrame(table, f"_v double, {rank} double"))
+
+
 def correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
-    """``(column, pearson, spearman)`` with the target. Ranks are averages over ties, from counts by value."""
-    out = None
-    for c in columns:
-        rows = df.select(F.col(c).cast("double").alias(c), F.col(target).cast("double").alias(target)).dropna()
-        ranked = rows.join(average_ranks(rows, c, "_rank"), c).join(average_ranks(rows, target, "_target_rank"), target)
-        one = ranked.agg(F.corr(c, target).alias("pearson"), F.corr("_rank", "_target_rank").alias("spearman")).select(F.lit(c).alias("column"), "pearson", "spearman")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``(column, pearson, spearman)`` with the target, over the rows that have both. Ranks are averages over ties, from counts by value.
+
+    Rows meet the ranks of each column, by a broadcast if it has few values. Then they are summed by the target's value,
+    for all columns at once, and only these sums meet the target's ranks. Null where a side does not vary.
+    """
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    x, k = [f"_x{i}" for i in range(len(columns))], range(len(columns))
+    rows = df.select(*[number(c).alias(n) for c, n in zip(columns, x)], number(target).alias("_y")).filter("_y is not null")
+    ranked = rows
+    for i in k:
+        ranked = ranked.join(_centred_ranks(rows, x[i], f"_r{i}"), F.col(x[i]) == F.col("_v"), "left").drop("_v")
+    sums = [f(F.col(f"_r{i}")).alias(f"{n}{i}") for i in k for n, f in (("_n", F.count), ("_s", F.sum), ("_q", lambda r: F.sum(r * r)))]
+    by = ranked.groupBy("_y").agg(*sums).persist(StorageLevel.DISK_ONLY)  # counted, cut into ranges and summed
+    try:
+        totals = by.agg(*[F.sum(f"_n{i}").alias(f"_n{i}") for i in k]).first()
+        # Target ranks among the rows that have the column, less their mean.
+        rank = lambda i: F.col(f"_n{i}_before") + (F.col(f"_n{i}") + 1) / 2.0 - F.lit(((totals[f"_n{i}"] or 0) + 1) / 2)
+        products = [(F.sum(rank(i) * F.col(f"_s{i}")), F.sum(F.col(f"_q{i}")), F.sum(rank(i) * rank(i) * F.col(f"_n{i}"))) for i in k]
+        got = sums_before(by, "_y", [f"_n{i}" for i in k]).agg(*[F.try_divide(xy, F.sqrt(xx * yy)).alias(f"s{i}") for i, (xy, xx, yy) in enumerate(products)]).first()
+    finally:
+        by.unpersist()
+    # Not F.corr, which fails where a side does not vary.
+    variance = lambda i: F.var_pop(x[i]) * F.var_pop(F.when(F.col(x[i]).isNotNull(), F.col("_y")))
+    plain = rows.agg(*[F.try_divide(F.covar_pop(x[i], "_y"), F.sqrt(variance(i))).alias(f"p{i}") for i in k]).first()
+    return df.sparkSession.createDataFrame([(c, plain[f"p{i}"], got[f"s{i}"]) for i, c in enumerate(columns)], "column string, pearson double, spearman double")
 
 
 def column_order(df: DataFrame, keys: Sequence[str], columns: Sequence[str], target: str) -> list[str]:

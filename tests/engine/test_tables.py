@@ -371,3 +371,19 @@ def test_drift_and_column_order(spark):
     got = evaluation.drift(train, {"same": make(0.0), "moved": make(3.0)}, ["a", "b"])
     assert got[0]["drift_auc"] < 0.6 and got[1]["drift_auc"] > 0.95 and got[1]["features"][0] == "b"
     assert evaluation.column_order(train, ["k"], ["b", "a"], "y") == ["k", "a", "b"]
+
+
+@pytest.mark.parametrize("few", [5, 50_000])
+def test_correlations_equal_pandas_without_ranks_of_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluation, "FEW", few)
+    if few > 5:
+        monkeypatch.setattr(evaluation, "average_ranks", None)
+    rows = [(float(i % 4), None if i % 3 == 0 else float(i * 7 % 23), 5.0, float(i * i % 13) if i % 5 else float("nan")) for i in range(90)]
+    df = table(spark, "a double, b double, c double, y double", rows)
+    pdf = pd.DataFrame(rows, columns=list("abcy")).astype(float)
+    got = {r["column"]: r for r in evaluation.correlations(df, ["a", "b", "c"], "y").collect()}
+    for c in "ab":
+        both = pdf[[c, "y"]].dropna()
+        assert abs(got[c].pearson - both[c].corr(both.y)) < 1e-9 and abs(got[c].spearman - both[c].rank().corr(both.y.rank())) < 1e-9
+    assert (got["c"].pearson, got["c"].spearman) == (None, None)
+    assert evaluation.column_order(df, [], ["c", "b", "a"], "y")[-1] == "c"
